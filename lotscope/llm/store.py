@@ -1,0 +1,61 @@
+"""Where intermediate tables go: the shared folder that the cluster names in spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FOLDERS: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """One folder for each application under spark.checkpoint.dir, removed when the driver ends.
+
+    Where the setting is absent (tests on one machine) a temporary folder stands in for it.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            top = "file://" + tempfile.mkdtemp(prefix="lotscope-")
+            spark.conf.set("spark.checkpoint.dir", top)
+        _FOLDERS[app] = f"{top.rstrip('/')}/lotscope-{uuid.uuid4().hex}"
+        atexit.register(remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system; a stopped session has nothing left to delete with."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    try:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the gateway may already be closed at exit
+        return
+
+
+class Table:
+    """A DataFrame written as Parquet to the shared folder: short lineage that outlives lost executors."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` cut from its lineage by a written table."""
+    return Table(df, name).df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
