@@ -12,8 +12,9 @@ Method: set-relation skipping over inverted index lists.
 4. A list longer than `common` sets (a passage in very many documents, or a large group of near copies) isn't
    paired: its sets are compared with a few hubs only, and each set learns how many of its postings were such.
    A set with too few others left has its answers derived from the sets it is found similar to: those
-   hubs tie it to its group, and only what is still apart is compared (`_settle`).
-5. Every remaining pair is verified on the whole texts with integers: 100 * shared >= t * union.
+   hubs tie it to its group, and only what is still apart is compared (`_settled`).
+5. Pairs are verified on the whole texts with integers: 100 * shared >= t * union. Each set first against its most
+   promising partner; pairs that are then tied together already take that answer, the others are verified.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.store import shuffle_width, written
-from lotscope.llm.words import digest, pieces, shingle_sets
+from lotscope.llm.store import release, shuffle_width, written
+from lotscope.llm.words import bodies, digest, pieces, shingle_sets, texts_of
 
 #: Postings that one task turns into lists: about 100 MB with all that numpy needs beside them.
 BUCKET = 2_500_000
@@ -42,7 +43,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2 = [], [], []
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(texts_of(batch)):
                 for x in shingle_sets(piece, k):
                     n.append(len(x))
                     d1.append(digest(x))
@@ -100,7 +101,7 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, late: bool = F
         rows, held = [], 0
         for batch in batches:
             ids, parts = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(texts_of(batch)):
                 for doc, part, x in zip(ids[piece.lo : piece.hi], parts[piece.lo : piece.hi], shingle_sets(piece, k), strict=True):
                     if doc is not None and len(x):
                         post = x if whole else x[: _posted(len(x), percent)].copy()
@@ -113,7 +114,8 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, late: bool = F
             yield out(rows)
 
     part = F.col("part") if "part" in docs.columns else F.lit(-1).cast("long").alias("part")
-    return docs.select(F.col("doc_id").cast("long"), "text", part).mapInArrow(run, "bucket long, blob binary")
+    text = "body" if "body" in docs.columns else "text"
+    return docs.select(F.col("doc_id").cast("long"), text, part).mapInArrow(run, "bucket long, blob binary")
 
 
 def _opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, ...]:
@@ -282,15 +284,15 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     hub = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("role"))
     asked = dealt.union(hub)
     width = shuffle_width(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sent = texts.join(asked.hint("shuffle_hash"), "id").select("hub", "part", "role", "id", "text").repartition(width, "hub", "part").sortWithinPartitions("hub", "part", "role")
+    texts = bodies(docs).withColumnRenamed("doc_id", "id")
+    sent = texts.join(asked.hint("shuffle_hash"), "id").select("hub", "part", "role", "id", "body").repartition(width, "hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, mine = None, None
         for batch in batches:
             hubs, parts, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "part", "role", "id"))
             a, b = [], []
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(texts_of(batch)):
                 for t, x in zip(range(piece.lo, piece.hi), shingle_sets(piece, k), strict=True):
                     if roles[t] == 0:
                         of, mine = (hubs[t], parts[t]), x
@@ -324,7 +326,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, common: int = 5
     buckets = max(8, -(-total * 2 * (100 - percent) // 100 // BUCKET))
     rows = _candidates(postings(docs, k, percent, buckets), buckets, lists(percent, common, hubs))
     frequent = _frequent(rows)
-    links = written(verified(docs, _possible(rows, percent), k, percent), "links")
+    possible = written(_possible(rows, percent), "possible")
+    links = _confirmed(docs, possible, k, percent)
     part = written(components(links), "parts")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) + 1
     short = known.join(frequent, F.col("doc_id") == F.col("id")).where(F.least(F.col("n"), 2 * prefix) - F.col("h") < prefix).select("doc_id", "n").distinct()
@@ -340,7 +343,9 @@ def _candidates(posted: DataFrame, buckets: int, run) -> DataFrame:
     width = int(min(buckets, 4 * max(8, shuffle_width(spark))))
     rows = posted.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, ia long, ib long, na long, nb long, starred boolean")
     rows = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return written(rows, "candidates")
+    rows = written(rows, "candidates")
+    release(spark)
+    return rows
 
 
 def _frequent(rows: DataFrame) -> DataFrame:
@@ -354,7 +359,28 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     pairs = rows.where("b is not null").join(often.withColumnsRenamed({"id": "a", "h": "ha"}), "a", "left").join(often.withColumnsRenamed({"id": "b", "h": "hb"}), "b", "left")
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
     bound = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    return pairs.where(bound >= need).select("a", "b")
+    met = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    return pairs.where(bound >= need).select("a", "b", (met / F.least("na", "nb")).alias("met"))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Enough of the true pairs among (a, b, met) to tie together what all of them would.
+
+    First each set is verified against one partner only: of those that it seems closest to, the one with the most
+    partners. Pairs within what this ties together need no answer of their own; the others are verified then.
+    """
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "met").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "met"))
+    deg = both.groupBy("u").agg(F.count("*").alias("deg"))
+    ranked = both.join(deg.withColumnRenamed("u", "v"), "v")
+    best = ranked.groupBy("u").agg(F.max(F.struct(F.floor(F.col("met") * 20), "deg", -F.col("v"))).alias("x")).select((-F.col("x.col3")).alias("a"), F.col("u").alias("b"))
+    tied = written(verified(docs, best, k, percent), "links")
+    release(docs.sparkSession)
+    part = components(tied)
+    left = pairs.join(part.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left").join(part.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
+    left = left.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+    links = tied.union(written(verified(docs, left, k, percent), "links"))
+    release(docs.sparkSession)
+    return links
 
 
 def _settled(docs: DataFrame, short: DataFrame, buckets: int, k: int, percent: int, common: int, prefix) -> DataFrame:
@@ -364,15 +390,15 @@ def _settled(docs: DataFrame, short: DataFrame, buckets: int, k: int, percent: i
     shingles in all are then compared among themselves in lists of any length, but never within a component: there
     the answers follow from those already found.
     """
-    texts = docs.select("doc_id", "text").join(short.hint("shuffle_hash"), "doc_id")
+    texts = bodies(docs).join(short.hint("shuffle_hash"), "doc_id")
     both = postings(docs, k, percent, buckets, late=True).union(postings(texts, k, percent, buckets, late=True, whole=True))
     rows = _candidates(both, buckets, lists(percent, common, 0, late=True))
     some = rows.where("b is not null").join(short.select(F.col("doc_id").alias("a"), F.lit(1).alias("sa")), "a", "left").join(short.select(F.col("doc_id").alias("b"), F.lit(1).alias("sb")), "b", "left")
     some = some.where("sa is not null or sb is not null").drop("sa", "sb").union(rows.where("b is null"))
-    links = written(verified(docs, _possible(some, percent), k, percent), "links")
+    links = _confirmed(docs, written(_possible(some, percent), "possible"), k, percent)
     rare = written(short.join(_frequent(rows), F.col("doc_id") == F.col("id")).where(F.col("n") - F.col("h") < prefix).select("doc_id", "part"), "rare")
     if rare.first() is None:
         return links
-    texts = docs.select("doc_id", "text").join(rare.hint("shuffle_hash"), "doc_id")
+    texts = bodies(docs).join(rare.hint("shuffle_hash"), "doc_id")
     rows = _candidates(postings(texts, k, percent, buckets, late=True), buckets, lists(percent, common, 0, late=True, apart=True))
-    return links.union(written(verified(docs, _possible(rows, percent), k, percent), "links"))
+    return links.union(_confirmed(docs, written(_possible(rows, percent), "possible"), k, percent))

@@ -11,6 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 U = np.uint64
@@ -59,12 +62,12 @@ def prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Piece:
-    """Some consecutive texts of a batch: `lo`..`hi` are their rows; word k of text t is bytes start[k]..end[k], k in first[t]..first[t + 1]."""
+    """Some consecutive texts of a batch: `lo`..`hi` are their rows; text t is bytes cuts[t]..cuts[t + 1], its words k in first[t]..first[t + 1] are bytes start[k]..end[k]."""
 
-    __slots__ = ("lo", "hi", "bytes", "start", "end", "first")
+    __slots__ = ("lo", "hi", "bytes", "cuts", "start", "end", "first")
 
     def __init__(self, lo: int, hi: int, raw: np.ndarray, cuts: np.ndarray):
-        self.lo, self.hi, self.bytes = lo, hi, raw
+        self.lo, self.hi, self.bytes, self.cuts = lo, hi, raw, cuts
         ink = ~_SPACE[raw]
         opens, closes = ink.copy(), ink.copy()
         opens[1:] &= ~ink[:-1]
@@ -141,3 +144,23 @@ def digest(hashes: np.ndarray) -> int:
     """A 64-bit digest of a sequence of hashes, as a signed integer."""
     p = mixed(hashes + MIX[50] * np.arange(1, len(hashes) + 1, dtype=np.uint64))
     return int(mixed(np.sum(p, keepdims=True) + np.full(1, len(hashes), np.uint64)).view(np.int64)[0])
+
+
+def bodies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, body): whole texts compressed one by one, for texts that must travel. A null text has a null body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            packed = [None if x is None else press.compress(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], [key, "body"])
+
+    return docs.select(F.col(key).cast("long"), "text").mapInArrow(run, f"{key} long, body binary")
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch, from its column text or body."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    open_ = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else open_.decompress(x) for x in batch.column("body").to_pylist()], pa.large_binary()).cast(pa.large_string())
