@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+#: Shuffles that led to a written table are of no more use: executors delete their files once it's written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -46,7 +47,12 @@ class Table:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -58,11 +64,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lotscope.llm.store import shuffle_width, written
-from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix
+from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix, zipped, unzipped
 
 #: Windows that one task compares: about 150 MB with what numpy needs beside them.
 BUCKET = 3_000_000
@@ -178,8 +178,9 @@ def _cut(width: int, buckets: int, schema: T.StructType):
             grps, bucket, blobs, docs = (batch.column(c) for c in ("grp", "bucket", "blob", "doc"))
             grps, bucket = grps.to_pylist(), bucket.to_pylist()
             ids = docs.field("doc_id").to_pylist()
+            texts = unzipped(batch.column("body"))
             kept, n_words, n_removed, cuts, rows = [], [], [], [], []
-            for piece in pieces(docs.field("text")):
+            for piece in pieces(texts):
                 for t, got in zip(range(piece.lo, piece.hi), _windows(piece, width), strict=True):
                     if grps[t] != grp:
                         grp, answer = grps[t], {}
@@ -197,7 +198,7 @@ def _cut(width: int, buckets: int, schema: T.StructType):
                     cuts.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
                     kept.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if len(edge) else b" ".join(words))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.take(at), pa.array([x.decode() for x in kept], pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(cuts, to.field("cuts").type)], ["doc", "kept", "n_words", "n_removed", "cuts"])
+            yield pa.RecordBatch.from_arrays([docs.take(at), texts.take(at).cast(pa.string()), pa.array([x.decode() for x in kept], pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(cuts, to.field("cuts").type)], ["doc", "text", "kept", "n_words", "n_removed", "cuts"])
 
     return run
 
@@ -219,11 +220,12 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     answers = written(asked.mapInArrow(_judged(groups), "grp long, bucket long, blob binary"), "answers")
     added = ["kept", "n_words", "n_removed", "cuts"]
     own = [c for c in docs.columns if c not in added]
-    doc = F.struct(*(F.col(f"`{c}`").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in own))
+    doc = F.struct(*(F.col(f"`{c}`").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in own if c != "text"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    texts = docs.select(F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), doc.alias("doc"), F.lit(1).alias("turn"))
-    blobs = answers.select("grp", "bucket", "blob", F.lit(None).cast(texts.schema["doc"].dataType).alias("doc"), F.lit(0).alias("turn"))
+    texts = docs.select(F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), doc.alias("doc"), "text")
+    texts = zipped(texts).withColumn("turn", F.lit(1))
+    blobs = answers.select("grp", "bucket", "blob", F.lit(None).cast(texts.schema["doc"].dataType).alias("doc"), F.lit(None).cast("binary").alias("body"), F.lit(0).alias("turn"))
     sent = texts.union(blobs).repartition(min(groups, 4 * max(8, wide)), "grp").sortWithinPartitions("grp", "turn")
-    schema = T.StructType([texts.schema["doc"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    schema = T.StructType([texts.schema["doc"], T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     out = sent.mapInArrow(_cut(width, buckets, schema), schema)
-    return out.select("doc.*", *added)
+    return out.select(*("text" if c == "text" else F.col(f"doc.`{c}`") for c in own), *added)

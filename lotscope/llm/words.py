@@ -14,6 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = 1 << 20
 U = np.uint64
@@ -146,21 +147,29 @@ def digest(hashes: np.ndarray) -> int:
     return int(mixed(np.sum(p, keepdims=True) + np.full(1, len(hashes), np.uint64)).view(np.int64)[0])
 
 
-def bodies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, body): whole texts compressed one by one, for texts that must travel. A null text has a null body."""
+def zipped(df: DataFrame) -> DataFrame:
+    """`df` with its last column, text, as body: whole texts compressed one by one, for texts that must travel. A null text has a null body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
-            packed = [None if x is None else press.compress(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], [key, "body"])
+            packed = [None if x is None else press.compress(x) for x in batch.columns[-1].cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "body"])
 
-    return docs.select(F.col(key).cast("long"), "text").mapInArrow(run, f"{key} long, body binary")
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("body", T.BinaryType())])
+    return df.mapInArrow(run, schema)
+
+
+def unzipped(body: pa.Array) -> pa.Array:
+    open_ = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else open_.decompress(x) for x in body.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """(doc_id, body) of each row."""
+    return zipped(docs.select(F.col("doc_id").cast("long"), "text"))
 
 
 def texts_of(batch: pa.RecordBatch) -> pa.Array:
     """The texts of a batch, from its column text or body."""
-    if "text" in batch.schema.names:
-        return batch.column("text")
-    open_ = zstandard.ZstdDecompressor()
-    return pa.array([None if x is None else open_.decompress(x) for x in batch.column("body").to_pylist()], pa.large_binary()).cast(pa.large_string())
+    return batch.column("text") if "text" in batch.schema.names else unzipped(batch.column("body"))
