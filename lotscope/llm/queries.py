@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotscope.llm.ann import neighbours
+from lotscope.llm.html import extract
 from lotscope.llm.jaccard import jaccard_join
 from lotscope.llm.mixing import mix
+from lotscope.llm.neardup import near_duplicates
 from lotscope.llm.packing import pack
 from lotscope.llm.quality import score_quality, train_quality
 from lotscope.llm.sample import held_out
 from lotscope.llm.substring import substring_dedup
+from lotscope.llm.toxicity import score_toxicity, train_toxicity
+from lotscope.llm.urls import url_filter, url_filter_sql
+
+#: What the url query judges by: (allow or block, host, path).
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +34,26 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model, "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -51,15 +79,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_graph_neighbours,
+        op2_toxicity,
+        op3_template_removal,
+        op4_embedding_near_dedup,
         op5_packing,
         op6_quality_classifier,
         op7_source_mixing,
         op8_ngram_jaccard_join,
         op9_substring_dedup,
+        op10_link_propagation,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_link_propagation": url_filter_sql(RULES)}
