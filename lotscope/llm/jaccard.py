@@ -13,7 +13,8 @@ Method: set-relation skipping over inverted index lists.
    paired: its sets are compared with a few hubs only, and each set learns how many of its postings were such.
    A set with too few others left has its answers derived from the sets it is found similar to: those
    hubs tie it to its group, and only what is still apart is compared (`_settled`).
-5. Pairs are verified on the whole texts with integers: 100 * shared >= t * union. Each set first against its most
+5. A bitmap of each set, four times as many bits as shingles, rules out most pairs that stay below the threshold.
+6. Pairs are verified on the whole texts with integers: 100 * shared >= t * union. Each set first against its most
    promising partner; pairs that are then tied together already take that answer, the others are verified.
 """
 
@@ -31,26 +32,60 @@ from lotscope.llm.store import shuffle_width, written
 from lotscope.llm.words import bodies, digest, pieces, shingle_sets, texts_of
 
 #: Postings that one task turns into lists: about 100 MB with all that numpy needs beside them.
-BUCKET = 2_500_000
+BUCKET = 1_500_000
 _HEAD = np.dtype([("id", "<i8"), ("key", "<i8"), ("n", "<u4"), ("held", "<u4")])
 #: Later rounds also know the component of a set; it is -1 for sets that only answer.
 _LATE = np.dtype([*_HEAD.descr, ("part", "<i8")])
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2) for each row: size of the shingle set and 128 bits that stand for the set."""
+    """(doc_id, n, d1, d2, bits) for each row: size of the shingle set, 128 bits that stand for the set, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, bits = [], [], [], []
             for piece in pieces(texts_of(batch)):
                 for x in shingle_sets(piece, k):
                     n.append(len(x))
                     d1.append(digest(x))
                     d2.append(digest(x[::-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
+                    bits.append(_parity(x))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary")
+
+
+def _parity(x: np.ndarray) -> bytes:
+    """For each of 4 n bits or more, a power of two, whether an odd number of shingles fall on it."""
+    b = max(6, int(4 * len(x)).bit_length())
+    return np.packbits(np.bincount((x >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b) & 1).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only: a bit differs only where an odd number of those fall."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    # The place in a shorter bitmap is the upper part of the place in a longer one: neighbouring bits merge.
+    if len(a) < len(b):
+        wide = np.unpackbits(b).reshape(len(a) * 8, -1)
+        b = np.packbits(np.bitwise_xor.reduce(wide, axis=1))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, met) that their parity bitmaps don't rule out: sets at the threshold differ in few shingles, so in few bits."""
+    one = sets.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    both = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = na + nb - 2 * _need(na, nb, percent)
+            ok = [_differ(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column("xa"), batch.column("xb"), most.tolist(), strict=True)]
+            yield batch.select(["a", "b", "met"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "met", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, met double")
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -157,7 +192,7 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
             many = np.maximum(0, b - a)
             total, done = np.cumsum(many), 0
             while done < len(some):
-                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 1_000_000, "right")))
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 400_000, "right")))
                 m = many[done:upto]
                 x = np.repeat(some[done:upto], m)
                 if len(x):
@@ -241,7 +276,7 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
                 for x, y in pairs(lst[at], rank_[at], n[at], size[at], rare):
                     keep(at[x], at[y], False)
                     held += found[-1].shape[1]
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         if (out := merged()) is not None:
                             yield out
                         held = 0
@@ -326,14 +361,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, common: int = 5
     buckets = max(8, -(-total * 2 * (100 - percent) // 100 // BUCKET))
     rows = _candidates(postings(docs, k, percent, buckets), buckets, lists(percent, common, hubs))
     frequent = _frequent(rows)
-    possible = written(_possible(rows, percent), "possible")
+    possible = written(_alike(_possible(rows, percent), sets, percent), "possible")
     links = _confirmed(docs, possible, k, percent)
     part = written(components(links), "parts")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) + 1
     short = known.join(frequent, F.col("doc_id") == F.col("id")).where(F.least(F.col("n"), 2 * prefix) - F.col("h") < prefix).select("doc_id", "n").distinct()
     short = written(short.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("part")), "short")
     if short.first() is not None:
-        links = links.union(_settled(docs, short, buckets, k, percent, common, prefix))
+        links = links.union(_settled(docs, sets, short, buckets, k, percent, common, prefix))
     part = components(links.union(copies))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -380,7 +415,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return links
 
 
-def _settled(docs: DataFrame, short: DataFrame, buckets: int, k: int, percent: int, common: int, prefix) -> DataFrame:
+def _settled(docs: DataFrame, sets: DataFrame, short: DataFrame, buckets: int, k: int, percent: int, common: int, prefix) -> DataFrame:
     """Links of the sets in `short` (doc_id, n, part), too few of whose postings stand in short lists, with sets of other components.
 
     They post everything, so that whatever shares a rare shingle with them meets them. Those that have too few rare
@@ -392,10 +427,10 @@ def _settled(docs: DataFrame, short: DataFrame, buckets: int, k: int, percent: i
     rows = _candidates(both, buckets, lists(percent, common, 0, late=True))
     some = rows.where("b is not null").join(short.select(F.col("doc_id").alias("a"), F.lit(1).alias("sa")), "a", "left").join(short.select(F.col("doc_id").alias("b"), F.lit(1).alias("sb")), "b", "left")
     some = some.where("sa is not null or sb is not null").drop("sa", "sb").union(rows.where("b is null"))
-    links = _confirmed(docs, written(_possible(some, percent), "possible"), k, percent)
+    links = _confirmed(docs, written(_alike(_possible(some, percent), sets, percent), "possible"), k, percent)
     rare = written(short.join(_frequent(rows), F.col("doc_id") == F.col("id")).where(F.col("n") - F.col("h") < prefix).select("doc_id", "part"), "rare")
     if rare.first() is None:
         return links
     texts = bodies(docs).join(rare.hint("shuffle_hash"), "doc_id")
     rows = _candidates(postings(texts, k, percent, buckets, late=True), buckets, lists(percent, common, 0, late=True, apart=True))
-    return links.union(_confirmed(docs, written(_possible(rows, percent), "possible"), k, percent))
+    return links.union(_confirmed(docs, written(_alike(_possible(rows, percent), sets, percent), "possible"), k, percent))
