@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lotscope.plans import appraisal, market, texts
+
+QUERIES: dict = {**market.QUERIES, **appraisal.QUERIES, **texts.QUERIES}
+SQL: dict[str, str] = {**market.SQL, **appraisal.SQL, **texts.SQL}
