@@ -98,3 +98,19 @@ def emitted(docs: DataFrame, mixed: DataFrame, unit: int = 100) -> DataFrame:
     both = both.withColumn("text_", text)
     made = {"text": F.col("text_"), "n_chars": F.length("text_").cast("long")}
     return both.select(*(made[c].alias(c) if c in made else F.col(c) for c in docs.columns))
+
+
+def mix_sql(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, unit: int = 100, seed: str = "mix") -> str:
+    """The digest of a mix of `documents` as one DuckDB statement: doc_id, size, source_size, target, taken."""
+    upto = "(order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding)"
+    return f"""with d as (select row_number() over () as rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size from documents),
+per as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, ({list(weights)})[(row_number() over (order by source nulls last) - 1) % {len(weights)} + 1] as w from per),
+b as (select *, coalesce(sum(source_size * {cap}) over {upto}, 0) as before, sum(source_size) over () * {share}::double as total, sum(w) over () - coalesce(sum(w) over {upto}, 0) as open_ from w),
+f as (select *, source_size * {cap} * open_ <= w * (total - before) as is_full from b),
+g as (select *, sum(case when is_full then source_size * {cap} else 0 end) over () as given, sum(case when is_full then 0 else w end) over () as left_ from f),
+t as (select source, source_size, case when is_full then cast(source_size * {cap} as double) else (total - given) / nullif(left_, 0) * w end as target, cast(('0x' || substr(md5('{seed}' || case when source is null then 'n' else 's' || source end), 1, 8)) as bigint) / 4294967296.0::double as shift from g),
+r as (select rid, doc_id, source, size, {unit} as words, size // {unit} as many from d union all select rid, doc_id, source, size, size % {unit}, case when size % {unit} > 0 then 1 else 0 end from d),
+p as (select *, coalesce(sum(many) over (partition by source order by words, substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 3), doc_id, size rows between unbounded preceding and 1 preceding), 0) as upto from r where many > 0),
+k as (select rid, sum(words * least(floor(target / source_size * (upto + many) + shift) - floor(target / source_size * upto + shift), {cap} * many)) as taken from p join t on p.source is not distinct from t.source group by rid)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from d join t on d.source is not distinct from t.source left join k using (rid)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lotscope.llm.ann import neighbours
 from lotscope.llm.html import extract
 from lotscope.llm.jaccard import jaccard_join
-from lotscope.llm.mixing import mix
+from lotscope.llm.mixing import mix, mix_sql
 from lotscope.llm.neardup import near_duplicates
 from lotscope.llm.packing import pack
 from lotscope.llm.quality import score_quality, train_quality
@@ -99,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op10_link_propagation": url_filter_sql(RULES)}
+SQL: dict[str, str] = {"op7_source_mixing": mix_sql(), "op10_link_propagation": url_filter_sql(RULES)}
