@@ -42,7 +42,7 @@ def day_accounts(days: DataFrame) -> DataFrame:
 def events(days: DataFrame) -> DataFrame:
     """(item, day, event, before, after): appeared, disappeared, reappeared, price_change, in the order of days. Unknown days change nothing."""
     w = Window.partitionBy("item").orderBy("day")
-    sure = days.where("status <> 'unknown'").withColumn("was", F.lag("status").over(w)).withColumn("was_price", F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    sure = days.where("status <> 'unknown'").withColumn("was", F.lag("status").over(w)).withColumn("was_price", F.last(F.when(F.col("status") == "present", F.col("price")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     present = F.col("status") == "present"
     kinds = F.array(
         F.when(present & F.col("was").isNull(), "appeared"),
