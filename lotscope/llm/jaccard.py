@@ -31,8 +31,9 @@ from lotscope.llm.components import components
 from lotscope.llm.store import shuffle_width, written
 from lotscope.llm.words import bodies, digest, pieces, shingle_sets, texts_of
 
-#: Postings that one task turns into lists: about 100 MB with all that numpy needs beside them.
-BUCKET = 1_500_000
+#: Postings that one task turns into lists: about 50 MB.
+BUCKET = 2_000_000
+SLICE = 300_000
 _HEAD = np.dtype([("id", "<i8"), ("key", "<i8"), ("n", "<u4"), ("held", "<u4")])
 #: Later rounds also know the component of a set; it is -1 for sets that only answer.
 _LATE = np.dtype([*_HEAD.descr, ("part", "<i8")])
@@ -142,7 +143,7 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, late: bool = F
                         post = x if whole else x[: _posted(len(x), percent)].copy()
                         rows.append((doc, digest(x), len(x), part, post))
                         held += len(post)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield out(rows)
                     rows, held = [], 0
         if rows:
@@ -163,7 +164,7 @@ def _opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, ...]:
         toks.append(np.frombuffer(blob, "<u8", p, at))
         ranks.append(np.frombuffer(blob, "<u4", p, at + 8 * p))
     head = np.concatenate(heads)
-    return head, np.concatenate(toks), np.concatenate(ranks).astype(np.int64), np.repeat(np.arange(len(head)), head["held"])
+    return head, np.concatenate(toks), np.concatenate(ranks), np.repeat(np.arange(len(head), dtype=np.int32), head["held"])
 
 
 def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -192,7 +193,7 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
             many = np.maximum(0, b - a)
             total, done = np.cumsum(many), 0
             while done < len(some):
-                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 400_000, "right")))
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 200_000, "right")))
                 m = many[done:upto]
                 x = np.repeat(some[done:upto], m)
                 if len(x):
@@ -206,7 +207,16 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.bool_())], names)
 
         def of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """A bucket, in slices of some lists at a time: what numpy needs beside the postings follows the slice."""
             head, tok, rank, own = _opened(blobs, _LATE if late else _HEAD)
+            blobs.clear()
+            slices = -(-len(tok) // SLICE)
+            which = ((tok >> np.uint64(7)) % np.uint64(slices)).astype(np.int32)
+            for k in range(slices):
+                at = np.flatnonzero(which == k)
+                yield from some_lists(head, tok[at], rank[at].astype(np.int64), own[at].astype(np.int64))
+
+        def some_lists(head: np.ndarray, tok: np.ndarray, rank: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.argsort(tok, kind="stable")
             t = tok[order]
             same = t[1:] == t[:-1]
@@ -276,7 +286,7 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
                 for x, y in pairs(lst[at], rank_[at], n[at], size[at], rare):
                     keep(at[x], at[y], False)
                     held += found[-1].shape[1]
-                    if held > 1_000_000:
+                    if held > 500_000:
                         if (out := merged()) is not None:
                             yield out
                         held = 0
@@ -324,7 +334,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, mine = None, None
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             hubs, parts, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "part", "role", "id"))
             a, b = [], []
             for piece in pieces(texts_of(batch)):
@@ -343,7 +353,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return sent.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, common: int = 512, hubs: int = 8) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, common: int = 64, hubs: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text; other columns are ignored).
 
     n_shingles is the size of the row's set; component_id the smallest doc_id that it reaches through pairs whose
