@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotscope.operators import estimators, ranking, review
-from lotscope.plans.market import KM, OBS, ROWS, SPANS, graded, observations, rounded
-from lotscope.plans.market import GRADED as GRADED
-from lotscope.plans.views import listings, table
-from lotscope.operators import tracking
+from lotscope.operators import estimators, ranking, review, tracking
+from lotscope.plans.market import KM, OBS, ROWS, SPANS, rounded
+from lotscope.plans.views import listings, observations, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -264,13 +262,14 @@ def review_confidence(spark, d):
     return rounded(review.confidence(profiles(spark, d)).select("item", "confidence", "status", "weakest"), "confidence")
 
 
-RULES = [("often_gone", "high", F.col("absent_days") >= 8), ("seldom_seen", "medium", F.col("present_days") < 15), ("odd_price", "low", F.col("anomaly") > 0.4)]
+def rules():
+    return [("often_gone", "high", F.col("absent_days") >= 8), ("seldom_seen", "medium", F.col("present_days") < 15), ("odd_price", "low", F.col("anomaly") > 0.4)]
 
 
 @query(f"""{PROFILE}, f as (select *, case when absent_days >= 8 then 1 else 0 end as high, case when present_days < 15 then 1 else 0 end as medium, list_filter([case when absent_days >= 8 then 'often_gone' end, case when present_days < 15 then 'seldom_seen' end, case when anomaly > 0.4 then 'odd_price' end], lambda x: x is not null) as codes from s)
 select item, array_to_string(codes, ',') as codes, (['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'])[least(4, list_position(['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'], status) + case when high > 0 then high when medium > 0 then 1 else 0 end)] as decision from f""")
 def review_judge(spark, d):
-    df = review.confidence(profiles(spark, d)).withColumn("findings", review.findings(RULES))
+    df = review.confidence(profiles(spark, d)).withColumn("findings", review.findings(rules()))
     return review.judged(df).select("item", F.array_join(F.col("findings.code"), ",").alias("codes"), "decision")
 
 

@@ -282,8 +282,7 @@ def linkage_cluster_spread(spark, d):
     return rounded(linkage.cluster_spread(listings(spark, d)), "spread")
 
 
-@query("""with recursive o as (select distinct o_custkey as c, o_orderpriority || cast(o_orderdate as varchar) as k from orders), e as (select a.c as a, b.c as b from o a join (select k, min(c) as c from o group by k) b on a.k = b.k),
-w as (select a as x, b as y from e union select b, a from e), walk as (select c as node, c as reach from o union select walk.node, w.y from walk join w on walk.reach = w.x where w.y < walk.reach or w.y > walk.reach) select node as id, min(reach) as item from walk group by node""" if False else None)
+@query()
 def linkage_same_item(spark, d):
     df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(400)).alias("k1"), F.concat_ws("|", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("k2"))
     return linkage.same_item(df.where("k1 < 40"), "id", [["k1"], ["k2"]])
