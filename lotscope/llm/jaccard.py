@@ -175,7 +175,8 @@ def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool = False):
     """Turns the blobs of a bucket into rows: pairs (a, b, shared, ia, ib, na, nb, starred) and, with b null, how many postings of a were common.
 
-    `late`: only pairs of different components, one of them known. `apart`: no list is too long, but sets of a list's
+    `late`: only pairs of different components, one of them known; a list is too long for sets of no known component only if
+    it is so by what all sets post at first. `apart`: no list is too long, but sets of a list's
     most frequent component are not compared with each other.
     """
 
@@ -232,6 +233,9 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
             t, k = tok[order], head["key"][own[order]]
             fresh = np.ones(len(order), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+            early = np.zeros(np.count_nonzero(fresh), bool)
+            if late:
+                early[(np.cumsum(fresh) - 1)[head["part"][own[order]] == -1]] = True
             order = order[fresh]
             t, who, rank_ = tok[order], own[order], rank[order]
             n = head["n"][who].astype(np.int64)
@@ -241,6 +245,10 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
             big = (length[lst] > common) & (not apart)
             part = head["part"][who] if late else None
             small = (length[lst] > 1) & ~big
+            # Lists that only the known sets' further postings made long: what stood there before meets all of those, and isn't common.
+            ask = np.zeros(len(lst), bool)
+            if late and not apart:
+                ask = big & (part == -1) & (np.bincount(lst, early)[lst] <= common)
             found: list[np.ndarray] = []
 
             def keep(a: np.ndarray, b: np.ndarray, starred: bool) -> None:
@@ -290,6 +298,17 @@ def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool
                         if (out := merged()) is not None:
                             yield out
                         held = 0
+            if ask.any():
+                at = np.flatnonzero(big & (np.bincount(lst, ask)[lst] > 0))
+                at = at[np.lexsort((rank_[at], size[at], lst[at]))]
+                for x, y in pairs(lst[at], rank_[at], n[at], size[at], ask[at]):
+                    keep(at[x], at[y], False)
+                    held += found[-1].shape[1]
+                    if held > 500_000:
+                        if (out := merged()) is not None:
+                            yield out
+                        held = 0
+            big &= ~ask
             if big.any():
                 at = np.flatnonzero(big)
                 at = at[np.lexsort((head["key"][who[at]], lst[at]))]
@@ -428,7 +447,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 def _settled(docs: DataFrame, sets: DataFrame, short: DataFrame, buckets: int, k: int, percent: int, common: int, prefix) -> DataFrame:
     """Links of the sets in `short` (doc_id, n, part), too few of whose postings stand in short lists, with sets of other components.
 
-    They post everything, so that whatever shares a rare shingle with them meets them. Those that have too few rare
+    They post everything, so that whatever shares a rare shingle with them meets them; the other sets' shingles stay rare
+    where only these postings make a list long. Those that have too few rare
     shingles in all are then compared among themselves in lists of any length, but never within a component: there
     the answers follow from those already found.
     """
@@ -436,7 +456,7 @@ def _settled(docs: DataFrame, sets: DataFrame, short: DataFrame, buckets: int, k
     both = postings(docs, k, percent, buckets, late=True).union(postings(texts, k, percent, buckets, late=True, whole=True))
     rows = _candidates(both, buckets, lists(percent, common, 0, late=True))
     some = rows.where("b is not null").join(short.select(F.col("doc_id").alias("a"), F.lit(1).alias("sa")), "a", "left").join(short.select(F.col("doc_id").alias("b"), F.lit(1).alias("sb")), "b", "left")
-    some = some.where("sa is not null or sb is not null").drop("sa", "sb").union(rows.where("b is null"))
+    some = some.where("sa is not null or sb is not null").drop("sa", "sb").unionByName(rows.where("b is null"))
     links = _confirmed(docs, written(_alike(_possible(some, percent), sets, percent), "possible"), k, percent)
     rare = written(short.join(_frequent(rows), F.col("doc_id") == F.col("id")).where(F.col("n") - F.col("h") < prefix).select("doc_id", "part"), "rare")
     if rare.first() is None:

@@ -57,3 +57,15 @@ def test_empty_table_null_ids_and_repeats(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (3, "A B C D E F"), (9, "x")]
     got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [("3", 2, 3), ("5", 2, 3), ("5", 2, 3), ("9", 1, 9), ("None", 2, None)]
+
+
+def test_tiny_documents_inside_large_groups(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        line, long = [word() for _ in range(9)], [word() for _ in range(60)]
+        texts += [line, line[:8], *(long[:30] + line + long[30 + i :] for i in range(6))]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), common=4, hubs=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
