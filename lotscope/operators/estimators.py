@@ -94,26 +94,28 @@ def comparables(test: DataFrame, train: DataFrame, key: str, id_col: str, least:
     model_only or global; with their number, dispersion and price quantiles.
 
     Train rows are first reduced to their distinct (year, mileage, price) of a model, with counts, so what a test row meets
-    are cells of its own model; quantiles are taken over cells by their counts.
+    are cells of its own model. Counts settle the tier; quantiles are then taken over the cells of that tier only, by their counts.
     """
     cells = train.groupBy(key, "year", "mileage_km", "price").agg(F.count("*").alias("w"))
     near_year = F.abs(F.col("t.year") - F.col("c.year")) <= 1
     near_km = (F.col("t.mileage_km") <= 0) | (F.abs(F.col("c.mileage_km") - F.col("t.mileage_km")) <= 0.3 * F.col("t.mileage_km"))
     tiers = {"strict": near_year & near_km, "relaxed_mileage": near_year, "relaxed_year": near_km, "model_only": F.lit(True)}
     met = test.alias("t").join(cells.alias("c"), F.col(f"t.{key}") == F.col(f"c.{key}"))
-    aggs = []
-    for name, ok in tiers.items():
-        at = lambda q, ok=ok: F.percentile(F.when(ok, F.col("c.price")), F.lit(q), F.when(ok, F.col("c.w")).otherwise(0))
-        aggs += [F.sum(F.when(ok, F.col("c.w")).otherwise(0)).alias(f"n_{name}"), *(at(q).alias(f"{name}_{i + 1}") for i, q in enumerate(quantiles)), at(0.25).alias(f"{name}_lo"), at(0.75).alias(f"{name}_hi"), at(0.5).alias(f"{name}_mid")]
-    per = met.groupBy(F.col(f"t.{id_col}").alias(id_col)).agg(*aggs)
-    every = train.agg(F.count("*").alias("n"), F.percentile("price", F.array(*map(F.lit, (*quantiles, 0.25, 0.75, 0.5)))).alias("q")).first()
+    asked = (*quantiles, 0.25, 0.75, 0.5)
+    counts = [F.sum(F.when(ok, F.col("c.w")).otherwise(0)).alias(f"n_{name}") for name, ok in tiers.items()]
+    per = met.groupBy(F.col(f"t.{id_col}").alias(id_col)).agg(*counts)
+    every = train.agg(F.count("*").alias("n"), F.percentile("price", F.array(*map(F.lit, asked))).alias("q")).first()
     tier = F.coalesce(*(F.when(F.col(f"n_{name}") >= least, name) for name in tiers), F.lit("global"))
-    out = test.select(id_col, "price").join(per, id_col, "left").withColumn("tier", tier)
-    world = every["q"] or [None] * (len(quantiles) + 3)
-    pick = lambda col, value: F.coalesce(*(F.when(F.col("tier") == name, F.col(f"{name}_{col}")) for name in tiers), F.lit(value).cast("double"))
+    out = test.join(per, id_col, "left").withColumn("tier", tier)
+    inside = F.coalesce(*(F.when(F.col("t.tier") == name, ok) for name, ok in tiers.items()), F.lit(False))
+    own = out.where("tier <> 'global'").alias("t").join(cells.alias("c"), (F.col(f"t.{key}") == F.col(f"c.{key}")) & inside)
+    own = own.groupBy(F.col(f"t.{id_col}").alias(id_col)).agg(F.percentile(F.col("c.price"), F.array(*map(F.lit, asked)), F.col("c.w")).alias("q"))
+    out = out.join(own, id_col, "left")
+    world = every["q"] or [None] * len(asked)
+    pick = lambda i: F.when(F.col("tier") == "global", F.lit(world[i]).cast("double")).otherwise(F.col("q")[i])
     count = F.coalesce(*(F.when(F.col("tier") == name, F.col(f"n_{name}")) for name in tiers), F.lit(every["n"]))
-    spread = F.try_divide(pick("hi", world[-2]) - pick("lo", world[-3]), pick("mid", world[-1]))
-    return out.select(id_col, "price", "tier", count.alias("n"), spread.alias("dispersion"), *(pick(str(i + 1), world[i]).alias(f"q{i + 1}") for i in range(len(quantiles))))
+    spread = F.try_divide(pick(-2 + len(asked)) - pick(-3 + len(asked)), pick(-1 + len(asked)))
+    return out.select(id_col, "price", "tier", count.alias("n"), spread.alias("dispersion"), *(pick(i).alias(f"q{i + 1}") for i in range(len(quantiles))))
 
 
 def parent_median_baseline(test: DataFrame, train: DataFrame, key: str, y: str = "price") -> DataFrame:

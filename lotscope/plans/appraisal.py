@@ -105,13 +105,22 @@ def _tiers() -> str:
     x as (select *, {tier} as tier from m) select listing_id, price, tier, {pick('n').replace('strict_n', 'n_strict').replace('relaxed_mileage_n', 'n_relaxed_mileage').replace('relaxed_year_n', 'n_relaxed_year').replace('model_only_n', 'n_model_only')} as n, round(({pick('hi')} - {pick('lo')}) / {pick('mid')}, 6) as dispersion, {qs} from x"""
 
 
-@query(f"{PRICED}, halved as (select *, case when cluster_id % 5 = 0 then 'test' else 'train' end as side from priced where make in ('Brand#11', 'Brand#12')), {_tiers()}")
-def estimator_comparables(spark, d):
-    df = halves(spark, d).where("make in ('Brand#11', 'Brand#12')")
+def _comparables(df):
     out = estimators.comparables(df.where("side = 'test'"), df.where("side = 'train'"), "model_key", "listing_id")
     return rounded(rounded(out, "dispersion"), "q1", "q2", "q3", "q4", digits=2)
 
 
+@query(f"{PRICED}, halved as (select *, case when cluster_id % 5 = 0 then 'test' else 'train' end as side from priced where make in ('Brand#11', 'Brand#12')), {_tiers()}")
+def estimator_comparables(spark, d):
+    """Two makes, as in the SQL; estimator_comparables_whole has all."""
+    return _comparables(halves(spark, d).where("make in ('Brand#11', 'Brand#12')"))
+
+
+@query()
+def estimator_comparables_whole(spark, d):
+    return _comparables(halves(spark, d))
+
+
 @query(f"{PRICED}, {HALVES}, p as (select model_key, quantile_cont(cast(price as double), 0.5) as m from halved where side = 'train' group by 1) select h.make as make, count(*) as n, round(avg(abs(price - coalesce(m, (select quantile_cont(cast(price as double), 0.5) from halved where side = 'train')))), 2) as mae from halved h left join p using (model_key) where side = 'test' group by h.make")
 def estimator_baseline_mae(spark, d):
     df = halves(spark, d)

@@ -2,7 +2,10 @@
 
 import datetime
 
-from lotscope.plans import registry
+import numpy as np
+
+from lotscope.plans import appraisal, registry
+from tests.test_queries import D
 
 
 def test_same_item_over_all_orders(spark, tmp_path):
@@ -22,3 +25,27 @@ def test_same_item_over_all_orders(spark, tmp_path):
                 up[max(a, b)] = min(a, b)
     got = registry.QUERIES["linkage_same_item"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, root(i)) for i in up]
+
+
+def test_comparables_of_all_makes(spark):
+    rows = appraisal.halves(spark, D).select("listing_id", "model_key", "year", "mileage_km", "price", "side").collect()
+    train, of = [r for r in rows if r.side == "train"], {}
+    for r in train:
+        of.setdefault(r.model_key, []).append(r)
+    want = {}
+    for t in rows:
+        if t.side == "test":
+            met = of.get(t.model_key, [])
+            year = [c for c in met if abs(c.year - t.year) <= 1]
+            km = lambda cs, t=t: [c for c in cs if t.mileage_km <= 0 or abs(c.mileage_km - t.mileage_km) <= 0.3 * t.mileage_km]
+            tiers = {"strict": km(year), "relaxed_mileage": year, "relaxed_year": km(met), "model_only": met}
+            tier = next((k for k, v in tiers.items() if len(v) >= 5), "global")
+            got = tiers.get(tier, train)
+            q = np.quantile([c.price for c in got], [*appraisal.TAU, 0.25, 0.75, 0.5])
+            want[t.listing_id] = (tier, len(got), [(q[5] - q[4]) / q[6], *q[:4]])
+    got = registry.QUERIES["estimator_comparables_whole"](spark, D).collect()
+    assert len(got) == len(want)
+    for r in got:
+        tier, n, q = want[r.listing_id]
+        assert (r.tier, r.n) == (tier, n)
+        np.testing.assert_allclose([r.dispersion, r.q1, r.q2, r.q3, r.q4], q, rtol=1e-6, atol=1e-6)
