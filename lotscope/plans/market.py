@@ -252,8 +252,19 @@ scored as (select old_id, new_id, case when kb < ka * 0.95 then 0 else greatest(
   + case when pb / pa between 0.8 and 1.1 then 0.1 when pb / pa < 0.55 or pb / pa > 1.45 then -0.1 else 0 end)) end as score from pairs)"""
 
 
+#: Pairs of any trim; REPOST has those of equal trim only.
+REPOST_WHOLE = REPOST.replace(" where a.trim = b.trim", "")
+
+
+@query(f"{ROWS}, {REPOST_WHOLE} select old_id, new_id, round(score, 6) as score from scored")
+def linkage_repost_score_whole(spark, d):
+    df = offers(spark, d)
+    return rounded(linkage.repost_candidates(df, df), "score")
+
+
 @query(f"{ROWS}, {REPOST} select old_id, new_id, round(score, 6) as score from scored")
 def linkage_repost_score(spark, d):
+    """Equal trims only, as in the SQL; linkage_repost_score_whole has all pairs."""
     df = offers(spark, d)
     return rounded(linkage.repost_candidates(df, df, same=("trim",)), "score")
 
@@ -263,6 +274,11 @@ def linkage_repost_top1(spark, d):
     return linkage.best_match(linkage_repost_score(spark, d), "new_id", "old_id", least=0.25)
 
 
+@query(f"{ROWS}, {REPOST_WHOLE}, r as (select *, row_number() over w as nth, lead(score) over w as next from (select old_id, new_id, round(score, 6) as score from scored) window w as (partition by new_id order by score desc, old_id)) select new_id, old_id, score, case when score < 0.25 then 'none' when next is null or round(score - next, 9) >= 0.1 then 'match' else 'ambiguous' end as verdict from r where nth = 1")
+def linkage_repost_top1_whole(spark, d):
+    return linkage.best_match(linkage_repost_score_whole(spark, d), "new_id", "old_id", least=0.25)
+
+
 @query("""with b as (select item_id, lower(substr(text, 1, 200)) as t from benchmark), g as (select item_id, list_distinct([substr(t, i, 4) for i in range(1, length(t) - 2)]) as s from b where length(t) >= 4)
 select x.item_id as a, y.item_id as b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) as j from g x join g y on x.item_id < y.item_id and x.item_id + 3 >= y.item_id""")
 def linkage_shingle_jaccard(spark, d):

@@ -49,3 +49,13 @@ def test_comparables_of_all_makes(spark):
         tier, n, q = want[r.listing_id]
         assert (r.tier, r.n) == (tier, n)
         np.testing.assert_allclose([r.dispersion, r.q1, r.q2, r.q3, r.q4], q, rtol=1e-6, atol=1e-6)
+
+
+def test_reposts_of_another_trim(spark):
+    rows = appraisal.listings(spark, D).where("model is not null").select("listing_id", "make", "model", "year", "seen_on").collect()
+    of = {}
+    for r in rows:
+        of.setdefault((r.make, r.model, r.year), []).append(r)
+    want = {(a.listing_id, b.listing_id) for g in of.values() for a in g for b in g if a.listing_id != b.listing_id and 1 <= (b.seen_on - a.seen_on).days <= 14}
+    assert {(r.old_id, r.new_id) for r in registry.QUERIES["linkage_repost_score_whole"](spark, D).collect()} == want
+    assert {r.new_id for r in registry.QUERIES["linkage_repost_top1_whole"](spark, D).collect()} == {b for _, b in want}
