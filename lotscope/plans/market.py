@@ -282,12 +282,24 @@ def linkage_repost_top1_whole(spark, d):
 @query("""with b as (select item_id, lower(substr(text, 1, 200)) as t from benchmark), g as (select item_id, list_distinct([substr(t, i, 4) for i in range(1, length(t) - 2)]) as s from b where length(t) >= 4)
 select x.item_id as a, y.item_id as b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) as j from g x join g y on x.item_id < y.item_id and x.item_id + 3 >= y.item_id""")
 def linkage_shingle_jaccard(spark, d):
+    """The first 200 characters of items close by id, as in the SQL; linkage_shingle_jaccard_whole has whole texts and all pairs that share a shingle."""
     df = table(spark, d, "benchmark").select("item_id", linkage.shingles(F.lower(F.substring("text", 1, 200))).alias("s")).where(F.size("s") > 0)
     near = df.withColumn("with", F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)))
     both = near.join(df.select(F.col("item_id").alias("with"), F.col("s").alias("s2")), "with")
     return rounded(both.select(F.col("item_id").alias("a"), F.col("with").alias("b"), linkage.jaccard(F.col("s"), F.col("s2")).alias("j")), "j")
 
 
+@query("""with b as (select item_id, lower(text) as t from benchmark), g as (select item_id, list_distinct([substr(t, i, 4) for i in range(1, length(t) - 2)]) as s from b where length(t) >= 4)
+select x.item_id as a, y.item_id as b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) as j from g x join g y on x.item_id < y.item_id and list_has_any(x.s, y.s)""")
+def linkage_shingle_jaccard_whole(spark, d):
+    df = table(spark, d, "benchmark").select("item_id", linkage.shingles(F.lower("text")).alias("s")).where(F.size("s") > 0)
+    each = df.select("item_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    x, y = each.alias("x"), each.alias("y")
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.item_id") < F.col("y.item_id")))
+    both = both.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("shared"), (F.first("x.n") + F.first("y.n")).alias("n"))
+    return rounded(both.select("a", "b", (F.col("shared") / (F.col("n") - F.col("shared"))).alias("j")), "j")
+
+
 @query(f"{ROWS} select make, count(*) as offers, count(distinct cluster_id) as items, round_even((count(*) / count(distinct cluster_id) - 1) * 100, 0)::bigint as inflation_pct from listings group by make")
 def linkage_supply_correction(spark, d):
     return linkage.supply_correction(listings(spark, d), ["make"])

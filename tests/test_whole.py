@@ -59,3 +59,13 @@ def test_reposts_of_another_trim(spark):
     want = {(a.listing_id, b.listing_id) for g in of.values() for a in g for b in g if a.listing_id != b.listing_id and 1 <= (b.seen_on - a.seen_on).days <= 14}
     assert {(r.old_id, r.new_id) for r in registry.QUERIES["linkage_repost_score_whole"](spark, D).collect()} == want
     assert {r.new_id for r in registry.QUERIES["linkage_repost_top1_whole"](spark, D).collect()} == {b for _, b in want}
+
+
+def test_shingles_of_whole_texts_far_apart(spark, tmp_path):
+    head = "".join(chr(97 + i * i % 26) for i in range(200))
+    rows = [(0, head + "wxyz" * 20), (1, head + "0123456789" * 8), (9, head + "wxyz" * 20), (50, "QQQQQ"), (60, "abc"), (61, None)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sets = {i: {t.lower()[k : k + 4] for k in range(len(t) - 3)} for i, t in rows if t}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = {(r.a, r.b): r.j for r in registry.QUERIES["linkage_shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and got[0, 9] == 1 > got[0, 1]
