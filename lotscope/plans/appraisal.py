@@ -196,8 +196,11 @@ def ranking_ladder(spark, d):
     return ranking.retrieve(listings(spark, d), NARROW)[0].select("listing_id", "rung")
 
 
-def candidates(spark, d):
-    df = listings(spark, d).where("price is not null and model is not null and year >= 2000")
+def candidates(spark, d, since: int | None = 2000):
+    """Listings to rank; `since` keeps those of that year or later, as in the SQL of queries that aren't `whole`."""
+    df = listings(spark, d).where("price is not null and model is not null")
+    if since is not None:
+        df = df.where(F.col("year") >= since)
     from lotscope.operators.quality import condition_risk
 
     middle = df.groupBy("make").agg(F.percentile("price", F.lit(0.35)).alias("conservative"))
@@ -212,6 +215,9 @@ o as (select *, risk * conservative * 0.6 as damage, conservative - price - risk
 e as (select query as q, {', '.join(f'min({c}) as lo_{c}, max({c}) as hi_{c}' for c, _ in _T)} from o group by query),
 scored as (select o.*, {' + '.join(f'({w}) * case when hi_{c} - lo_{c} < 1e-9 then 0.5 else ({c} - lo_{c}) / (hi_{c} - lo_{c}) end' for c, w in _T)} as score from o join e on query = q)"""
 
+#: Listings of all years.
+SCORED_WHOLE = SCORED.replace(" and year >= 2000", "")
+
 
 @query(f"{ROWS}, {SCORED} select listing_id, round(damage, 2) as damage, round(opportunity, 2) as opportunity, round(score, 6) as score from scored")
 def ranking_score(spark, d):
@@ -219,6 +225,12 @@ def ranking_score(spark, d):
     return rounded(rounded(out, "damage", "opportunity", digits=2), "score")
 
 
+@query(f"{ROWS}, {SCORED_WHOLE} select listing_id, round(damage, 2) as damage, round(opportunity, 2) as opportunity, round(score, 6) as score from scored")
+def ranking_score_whole(spark, d):
+    out = ranking.score(candidates(spark, d, None), ranking.Intent()).select("listing_id", "damage", "opportunity", "score")
+    return rounded(rounded(out, "damage", "opportunity", digits=2), "score")
+
+
 @query(f"""{ROWS}, {SCORED}, r as (select *, quantile_cont(cast(price as double), 0.25) over (partition by query) as p25, row_number() over (partition by query order by round(score, 9) desc, listing_id) as place from scored),
 a as (select *, place = 1 as p1 from r), b as (select *, min(case when not p1 and risk <= 0.15 then place end) over (partition by query) as safe from a),
 c as (select *, min(case when not p1 and place is distinct from safe and opportunity > 0 then place end) over (partition by query) as bargain from b),
@@ -230,6 +242,17 @@ def ranking_diversify(spark, d):
     return rounded(ranking.diversify(scored), "score")
 
 
+@query(f"""{ROWS}, {SCORED_WHOLE}, r as (select *, quantile_cont(cast(price as double), 0.25) over (partition by query) as p25, row_number() over (partition by query order by round(score, 9) desc, listing_id) as place from scored),
+a as (select *, place = 1 as p1 from r), b as (select *, min(case when not p1 and risk <= 0.15 then place end) over (partition by query) as safe from a),
+c as (select *, min(case when not p1 and place is distinct from safe and opportunity > 0 then place end) over (partition by query) as bargain from b),
+e2 as (select *, min(case when not p1 and place is distinct from safe and place is distinct from bargain and price <= p25 then place end) over (partition by query) as cheap from c),
+f as (select *, case when p1 then 0 when place = safe then 1 when place = bargain then 2 when place = cheap then 3 else 4 end as role from e2), g as (select *, row_number() over (partition by query order by role, place) as pick from f)
+select query, pick, listing_id, round(score, 6) as score, (['best overall', 'safest', 'best value', 'cheapest acceptable', 'alternative'])[role + 1] as role from g where pick <= 5""")
+def ranking_diversify_whole(spark, d):
+    scored = ranking.score(candidates(spark, d, None), ranking.Intent()).withColumn("score", F.round("score", 9))
+    return rounded(ranking.diversify(scored), "score")
+
+
 @query(f"{ROWS} select listing_id, array_to_string(list_filter([case when model is null then 'model' end, case when price is null then 'price' end], lambda x: x is not null), ',') as missing, condition = 'unknown' as imputed, round((4 - case when model is null then 1 else 0 end - case when price is null then 1 else 0 end - case when condition = 'unknown' then 1 else 0 end) / 4, 6) as completeness from listings")
 def ranking_ledger(spark, d):
     out = ranking.ledger(listings(spark, d), ["make", "model", "price", "mileage_km"], F.col("condition") == "unknown")
@@ -248,6 +271,18 @@ def ranking_win_rate(spark, d):
     return rounded(out.withColumn("wins", F.col("ranked") >= F.col("cheapest")), "ranked", "cheapest", digits=2)
 
 
+@query(f"""{ROWS}, {SCORED_WHOLE}, u as (select *, row_number() over (partition by query order by round(score, 9) desc, listing_id) as a, row_number() over (partition by query order by price, listing_id) as b from scored),
+m as (select query, avg(case when a <= 3 then opportunity end) as ranked, avg(case when b <= 3 then opportunity end) as cheapest from u group by query) select query, round(ranked, 2) as ranked, round(cheapest, 2) as cheapest, ranked >= cheapest as wins from m""")
+def ranking_win_rate_whole(spark, d):
+    from pyspark.sql import Window
+
+    scored = ranking.score(candidates(spark, d, None), ranking.Intent()).withColumn("score", F.round("score", 9))
+    a = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "listing_id"))
+    b = F.row_number().over(Window.partitionBy("query").orderBy("price", "listing_id"))
+    out = scored.withColumns({"a": a, "b": b}).groupBy("query").agg(F.avg(F.when(F.col("a") <= 3, F.col("opportunity"))).alias("ranked"), F.avg(F.when(F.col("b") <= 3, F.col("opportunity"))).alias("cheapest"))
+    return rounded(out.withColumn("wins", F.col("ranked") >= F.col("cheapest")), "ranked", "cheapest", digits=2)
+
+
 # review
 
 

@@ -69,3 +69,9 @@ def test_shingles_of_whole_texts_far_apart(spark, tmp_path):
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     got = {(r.a, r.b): r.j for r in registry.QUERIES["linkage_shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
     assert got == want and got[0, 9] == 1 > got[0, 1]
+
+
+def test_ranking_of_all_years(spark):
+    want = {r.listing_id for r in appraisal.listings(spark, D).where("price is not null and model is not null").collect()}
+    assert {r.listing_id for r in registry.QUERIES["ranking_score_whole"](spark, D).collect()} == want
+    assert {r.query for r in registry.QUERIES["ranking_win_rate_whole"](spark, D).collect()} == {r.query for r in registry.QUERIES["ranking_diversify_whole"](spark, D).collect()}
