@@ -33,28 +33,36 @@ def _judged(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _spread(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
+def _spread(seeds: DataFrame, edges: DataFrame, rounds: int | None, damping: float) -> DataFrame:
     """(host, score): `rounds` steps of personalised PageRank from seeds (host, weight) over edges (src, dst, share); what hosts without links hold returns to the seeds."""
     total = seeds.agg(F.sum("weight").alias("w")).first()["w"]
     seeds = seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("seed"))
     now = Table(seeds.withColumnRenamed("seed", "score"), "rank")
     out = edges.select(F.col("src").alias("host")).distinct()
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
         passed = now.df.join(out, "host", "left_semi").agg(F.sum("score").alias("s")).first()["s"] or 0.0
         back = 1 - damping + damping * (1 - passed)
         flow = now.df.join(edges, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         after = Table(flow.union(seeds.select("host", (F.col("seed") * back).alias("score"))).groupBy("host").agg(F.sum("score").alias("score")), "rank")
+        # Settled: no host is new, and what moves in a round is below 1e-9 of the mass.
+        moved = None
+        if rounds is None:
+            both = after.df.join(now.df.withColumnRenamed("score", "old"), "host", "full")
+            moved = both.agg(F.count_if(F.col("old").isNull()).alias("new"), F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("by")).first()
         now.drop()
-        now = after
+        now, done = after, done + 1
+        if moved is not None and not moved["new"] and (moved["by"] or 0.0) < 1e-9:
+            break
     return now.df
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = 8, damping: float = 0.85, block_at: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int | None = None, damping: float = 0.85, block_at: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of `pages` (page_id, url, html; other columns are ignored).
 
     `rules`: (allow or block, host, path); they become one expression, so there should be at most some hundreds. Urls that are
     null or have no :// have an empty host and path, and the verdict of that host. Links inside a host, and of null html, count nothing.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Scores spread until they settle, or for so many `rounds`.
     """
     host, path = host_and_path()
     urls = pages.select("page_id", "html", host.alias("host"), path.alias("path"))

@@ -54,3 +54,9 @@ def test_url_filter_equals_sql(spark, tmp_path):
     assert verdict[3] == ("example.org/en/1", "block") and verdict[2] == ("example.org/es/", "block") and verdict[13] == (None, "allow") and verdict[None] == ("org/", "allow")
     assert verdict[5] == (None, "block") and verdict[4] == (None, "allow") and verdict[15] == (None, "allow")
     assert url_filter(df.limit(0), RULES).count() == 0
+
+
+def test_verdicts_of_long_chains(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">x</a>') for i in range(12)] + [(12, "http://h12.net/", "")]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "h12.net", "/")]).collect()
+    assert {r.verdict for r in got} == {"block"}
