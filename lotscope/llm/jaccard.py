@@ -2,25 +2,25 @@
 
 Method: set-relation skipping over inverted index lists.
 
-1. Equal sets are one set: their answers are the same, so only one of them is joined.
-2. Every set posts the first shingles, in hash order, of its list: a pair that reaches the threshold shares one
-   of the first n - ceil(t n) + 1. It posts twice as many, so that common shingles can be made up for.
-3. A list is ordered by size class and, within it, by position. For each entry only two blocks are read: sets of
-   the next sizes whose position differs by no more than what the threshold lets two sets differ; the rest
-   of the list is skipped. Pairs carry the number of shingles found in common and the last positions;
-   what those leave open bounds the overlap, and pairs that can't reach the threshold any more fall away.
-4. A list longer than `common` sets (a passage in very many documents, or a large group of near copies) isn't
-   paired: its sets are compared with a few hubs only, and each set learns how many of its postings were such.
-   A set with too few others left has its answers derived from the sets it is found similar to: those
-   hubs tie it to its group, and only what is still apart is compared (`_settled`).
-5. A bitmap of each set, four times as many bits as shingles, rules out most pairs that stay below the threshold.
-6. Pairs are verified on the whole texts with integers: 100 * shared >= t * union. Each set first against its most
-   promising partner; pairs that are then tied together already take that answer, the others are verified.
+1. Every shingle of every set is counted: four bytes of its hash go to the bucket that the other four name, and the bucket
+   answers with the shingle's frequency, as a power of two. A set with fewer than t n shingles that occur elsewhere
+   has no partner and goes no further; of the others only the shingles that occur elsewhere do.
+2. Equal sets are one set: their answers are the same, so only the one with the smallest id is joined.
+3. Shingles are in order of frequency, then hash, those that occur nowhere else first. A set posts the first n - ceil(t n) + 1:
+   a pair that reaches the threshold shares one of them, and none before its first common one.
+4. A list is ordered by size class and, within it, by position. For each entry only the blocks of the next size classes
+   are read, and of each only the positions up to which the threshold can still be reached; the rest is skipped. A
+   parity sketch that travels with each set rules out nearly all pairs below the threshold.
+5. Answers are derived from those of similar sets. In a first round each set meets a few neighbours in its lists and is
+   verified against the most similar one; sets tied by that have one answer. Later rounds only compare sets with
+   different answers, and in a list never the sets of its most frequent answer among themselves: the second verifies
+   the most similar one again, the last all that are left. So rows follow the sets, not the pairs of a group.
+6. Pairs are verified on whole sets of 64-bit shingle hashes with integers: 100 * shared >= t * union.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,439 +28,449 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.store import shuffle_width, written
-from lotscope.llm.words import bodies, digest, pieces, shingle_sets, texts_of
-
-#: Postings that one task turns into lists: about 50 MB.
-BUCKET = 2_000_000
-SLICE = 300_000
-_HEAD = np.dtype([("id", "<i8"), ("key", "<i8"), ("n", "<u4"), ("held", "<u4")])
-#: Later rounds also know the component of a set; it is -1 for sets that only answer.
-_LATE = np.dtype([*_HEAD.descr, ("part", "<i8")])
+from lotscope.llm.store import Table
+from lotscope.llm.words import digest, pieces, shingle_sets, unzipped, zipped
+
+#: Shingles that one task counts: about 200 MB with what numpy needs beside them.
+BUCKET = 3_000_000
+#: Bytes of texts whose answers one task holds at a time.
+GROUP = 4 << 20
+#: Postings that one task turns into lists.
+POSTS = 250_000
+#: Pairs whose sketches are compared at a time.
+PAIRS = 100_000
+#: Sketches have 2^6 to 2^11 bits.
+_LEAST, _MOST = 6, 11
+_ASKED = np.dtype([("id", "<i8"), ("key", "<i8"), ("n", "<u4")])
+_HEAD = np.dtype([("id", "<i8"), ("part", "<i8"), ("n", "<u4"), ("s", "<u4"), ("held", "<u4"), ("sketch", "<u8", 1 << _MOST - 6)])
+
+
+def _need(na, nb, percent: int):
+    """Least overlap of sets of these sizes at the threshold."""
+    return -(-percent * (na + nb) // (100 + percent))
 
 
-def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bits) for each row: size of the shingle set, 128 bits that stand for the set, and its parity bitmap."""
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper half of the hash, in its order, so that a sorted set falls into consecutive runs; the lower half is compared there."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, d1, d2, bits = [], [], [], []
-            for piece in pieces(texts_of(batch)):
-                for x in shingle_sets(piece, k):
-                    n.append(len(x))
-                    d1.append(digest(x))
-                    d2.append(digest(x[::-1]))
-                    bits.append(_parity(x))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary")
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    return np.mod(ids ^ (ids >> 17), groups)
 
 
-def _parity(x: np.ndarray) -> bytes:
-    """For each of 4 n bits or more, a power of two, whether an odd number of shingles fall on it."""
-    b = max(6, int(4 * len(x)).bit_length())
-    return np.packbits(np.bincount((x >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b) & 1).tobytes()
+# 1. Frequencies
 
 
-def _differ(x: bytes, y: bytes) -> int:
-    """At least so many shingles are in one of two sets only: a bit differs only where an odd number of those fall."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    # The place in a shorter bitmap is the upper part of the place in a longer one: neighbouring bits merge.
-    if len(a) < len(b):
-        wide = np.unpackbits(b).reshape(len(a) * 8, -1)
-        b = np.packbits(np.bitwise_xor.reduce(wide, axis=1))
-    return int(np.bitwise_count(a ^ b).sum())
+def _questions(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(bucket, blob): for some documents, how many shingles of each fall into the bucket, and the lower halves of their hashes. Equal sets of a batch ask once, by the smallest id."""
 
-
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, met) that their parity bitmaps don't rule out: sets at the threshold differ in few shingles, so in few bits."""
-    one = sets.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    both = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+    def pack(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[:2])
+        keys = np.array([r[1] for r in rows], np.int64)
+        fresh = np.unique(keys, return_index=True)[1]
+        fresh.sort()
+        ids, keys, sets = np.array([rows[i][0] for i in fresh], np.int64), keys[fresh], [rows[i][2] for i in fresh]
+        tok = np.concatenate(sets)
+        own = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in sets])
+        to = _bucket(tok, buckets)
+        order = np.argsort(to.astype(np.uint16 if buckets < 1 << 16 else np.uint64), kind="stable")
+        ends = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+        half = tok.astype("<u4")
+        buckets_, blobs = [], []
+        for b in np.flatnonzero(np.diff(ends)):
+            at = order[ends[b] : ends[b + 1]]
+            has = np.bincount(own[at], minlength=len(ids))
+            some = np.flatnonzero(has)
+            head = np.zeros(len(some), _ASKED)
+            head["id"], head["key"], head["n"] = ids[some], keys[some], has[some]
+            buckets_.append(int(b))
+            blobs.append(np.array([len(some)], "<i8").tobytes() + head.tobytes() + half[at].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(buckets_, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = na + nb - 2 * _need(na, nb, percent)
-            ok = [_differ(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column("xa"), batch.column("xb"), most.tolist(), strict=True)]
-            yield batch.select(["a", "b", "met"]).filter(pa.array(ok, pa.bool_()))
+            ids = batch.column("doc_id").to_pylist()
+            for piece in pieces(batch.column("text")):
+                for doc, x in zip(ids[piece.lo : piece.hi], shingle_sets(piece, k), strict=True):
+                    if doc is not None and len(x):
+                        rows.append((doc, digest(x), x))
+                        held += len(x)
+                if held > 1_000_000:
+                    yield pack(rows)
+                    rows, held = [], 0
+        if rows:
+            yield pack(rows)
 
-    return both.select("a", "b", "met", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, met double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, blob binary")
 
 
-def _prefix(n: int, percent: int) -> int:
-    """Of n shingles in order, so many hold one of any pair at or above the threshold."""
-    return n - -(-percent * n // 100) + 1
+def _opened(blob: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(blob, "<i8", 1)[0])
+    return np.frombuffer(blob, _ASKED, m, 8), np.frombuffer(blob, kind, -1, 8 + m * _ASKED.itemsize)
 
 
-def _posted(n: int, percent: int) -> int:
-    return min(n, 2 * _prefix(n, percent))
+def _by_bucket(of: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]):
+    """Runs `of` on the blobs of each bucket; rows are sorted by bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now and blobs:
+                    yield from of(now, blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from of(now, blobs)
+
+    return run
 
-def postings(docs: DataFrame, k: int, percent: int, buckets: int, late: bool = False, whole: bool = False) -> DataFrame:
-    """(bucket, blob): the posted shingles of a batch of documents, packed for each bucket; equal sets of the batch post once.
 
-    `late`: blobs name each set's component, from the column `part` (-1 without it). `whole`: sets post all shingles.
-    """
-    kind = _LATE if late else _HEAD
-
-    def pack(rows: list[tuple[int, int, int, int, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-        rows.sort(key=lambda r: r[0])
-        ids, keys, sizes, part = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        fresh = np.zeros(len(rows), bool)
-        fresh[np.unique(keys, return_index=True)[1]] = True
-        toks = [r[4] for r, new in zip(rows, fresh, strict=True) if new]
-        ids, keys, sizes, part = ids[fresh], keys[fresh], sizes[fresh], part[fresh]
-        held = np.array([len(x) for x in toks])
-        tok = np.concatenate(toks)
-        own = np.repeat(np.arange(len(ids), dtype=np.int64), held)
-        rank = np.arange(len(tok)) - np.repeat(np.cumsum(held) - held, held)
+def _counted(groups: int):
+    """Blobs of a bucket become (grp, bucket, blob): a byte for each shingle, 0 if nothing else has it, or else one more than the binary logarithm of its frequency."""
+
+    def of(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [_opened(b, "<u4") for b in blobs]
+        blobs.clear()
+        head, half = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        del got
+        order = np.argsort(half)
+        s = half[order]
+        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        many = np.diff(np.append(cut, len(s)))
+        level = np.empty(len(s), np.uint8)
+        level[order] = np.repeat(np.where(many > 1, np.frexp(many)[1], 0).astype(np.uint8), many)
+        del order, s, half
+        start = np.cumsum(head["n"], dtype=np.int64) - head["n"]
+        some = np.flatnonzero(np.add.reduceat(level > 0, start))
+        grp = _group(head["id"][some], groups)
+        some, grp = some[np.argsort(grp, kind="stable")], np.sort(grp, kind="stable")
+        ends = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]])) if len(grp) else [0]
+        outs = []
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            mine = some[lo:hi]
+            n = head["n"][mine].astype(np.int64)
+            at = np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            outs.append(np.array([len(mine)], "<i8").tobytes() + head[mine].tobytes() + level[at].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(grp[ends[:-1]], pa.int64()), pa.array([bucket] * len(outs), pa.int64()), pa.array(outs, pa.binary())], ["grp", "bucket", "blob"])
+
+    return _by_bucket(of)
+
+
+def _sets(docs: DataFrame, k: int, percent: int) -> Table:
+    """(doc_id, n, d1, d2, blob) for each row: size of the shingle set, 128 bits that stand for it, and, if it can have a partner, those of its shingles that occur elsewhere, rare ones first."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    buckets = int(max(8, -(-size // 6 // BUCKET)))
+    groups = int(max(16, -(-size // GROUP))) | 1
+    asked = _questions(docs, k, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = Table(asked.mapInArrow(_counted(groups), "grp long, bucket long, blob binary"), "answers")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    texts = docs.select(F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.col("doc_id").cast("long"), "text")
+    texts = zipped(texts).withColumn("turn", F.lit(1))
+    blobs = answers.df.select("grp", "bucket", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), F.lit(0).alias("turn"))
+    sent = texts.union(blobs).repartition(-(-groups // 4), "grp").sortWithinPartitions("grp", "turn")
+    names = ["doc_id", "n", "d1", "d2", "blob"]
+
+    def shared(x: np.ndarray, answer: dict[int, np.ndarray]) -> bytes | None:
+        ends = np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        level = np.zeros(len(x), np.uint8)
+        for b, got in answer.items():
+            level[ends[b] : ends[b + 1]] = got
+        some = np.flatnonzero(level)
+        if 100 * len(some) < percent * len(x):
+            return None
+        return x[some[np.argsort(level[some], kind="stable")]].astype("<u8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, answer = None, {}
+        for batch in batches:
+            grps, bucket, ids = (batch.column(c).to_pylist() for c in ("grp", "bucket", "doc_id"))
+            out: list[tuple] = []
+            for piece in pieces(unzipped(batch.column("body"))):
+                for t, x in zip(range(piece.lo, piece.hi), shingle_sets(piece, k), strict=True):
+                    if grps[t] != grp:
+                        grp, answer = grps[t], {}
+                    if bucket[t] is not None:
+                        head, level = _opened(batch.column("blob")[t].as_py(), "u1")
+                        for (doc, key, n), end in zip(head.tolist(), np.cumsum(head["n"]).tolist(), strict=True):
+                            answer.setdefault((doc, key), {})[bucket[t]] = level[end - n : end]
+                        continue
+                    d1 = digest(x)
+                    got = answer.get((ids[t], d1)) if len(x) else None
+                    out.append((ids[t], len(x), d1, digest(x[::-1]), shared(x, got) if got else None))
+            cols = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "blob" else pa.int64()) for name, c in zip(names, cols, strict=True)], names)
+
+    made = Table(sent.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, blob binary"), "sets")
+    answers.drop()
+    return made
+
+
+# 2. Lists
+
+
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles fall on each of four bits a shingle or more; 2^11 at most."""
+    b = _width(len(x))
+    bits = np.zeros(1 << _MOST, np.uint8)
+    bits[: 1 << b] = np.bincount((x >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b) & 1
+    return np.packbits(bits).view("<u8")
+
+
+def _width(s: int) -> int:
+    return min(_MOST, max(_LEAST, int(4 * s).bit_length()))
+
+
+def _halved(sketch: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits: the place in a shorter one is the upper part of the place in a longer one, so neighbouring bits merge."""
+    bits = np.unpackbits(sketch.view(np.uint8), axis=1)
+    half = np.zeros_like(bits)
+    half[:, : bits.shape[1] // 2] = bits[:, ::2] ^ bits[:, 1::2]
+    return np.packbits(half, axis=1).view("<u8")
+
+
+def _postings(live: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(bucket, blob): for some sets of `live` (id, n, blob, part) their heads, and the posted shingles of each with their positions."""
+
+    def pack(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        sets = [r[3] for r in rows]
+        n = np.array([r[1] for r in rows], np.int64)
+        s = np.array([len(x) for x in sets], np.int64)
+        posted = n - -(-percent * n // 100) + 1 - (n - s)
+        tok = np.concatenate([x[:p] for x, p in zip(sets, posted, strict=True)])
+        own = np.repeat(np.arange(len(rows)), posted)
+        rank = np.arange(len(tok)) - np.repeat(np.cumsum(posted) - posted, posted) + (n - s)[own]
+        whole = np.zeros(len(rows), _HEAD)
+        whole["id"], whole["part"], whole["n"], whole["s"] = [r[0] for r in rows], [r[2] for r in rows], n, s
+        whole["sketch"] = np.stack([_sketch(x) for x in sets])
         to = ((tok * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
         ends = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+        buckets_, blobs = [], []
         for b in np.flatnonzero(np.diff(ends)):
             at = order[ends[b] : ends[b + 1]]
-            has = np.bincount(own[at], minlength=len(ids))
-            live = np.flatnonzero(has)
-            head = np.zeros(len(live), kind)
-            head["id"], head["key"], head["n"], head["held"] = ids[live], keys[live], sizes[live], has[live]
-            if late:
-                head["part"] = part[live]
-            yield int(b), np.array([len(live), len(at)], "<i8").tobytes() + head.tobytes() + tok[at].astype("<u8").tobytes() + rank[at].astype("<u4").tobytes()
+            has = np.bincount(own[at], minlength=len(rows))
+            head = whole[has > 0]
+            head["held"] = has[has > 0]
+            buckets_.append(int(b))
+            blobs.append(np.array([len(head), len(at)], "<i8").tobytes() + head.tobytes() + tok[at].astype("<u8").tobytes() + rank[at].astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(buckets_, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list) -> pa.RecordBatch:
-            got = list(pack(rows))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())], ["bucket", "blob"])
-
         rows, held = [], 0
         for batch in batches:
-            ids, parts = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
-            for piece in pieces(texts_of(batch)):
-                for doc, part, x in zip(ids[piece.lo : piece.hi], parts[piece.lo : piece.hi], shingle_sets(piece, k), strict=True):
-                    if doc is not None and len(x):
-                        post = x if whole else x[: _posted(len(x), percent)].copy()
-                        rows.append((doc, digest(x), len(x), part, post))
-                        held += len(post)
+            for i, n, part, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "part")), batch.column("blob"), strict=True):
+                x = np.frombuffer(blob.as_py(), "<u8")
+                rows.append((i, n, part, x))
+                held += len(x)
                 if held > 1_000_000:
-                    yield out(rows)
+                    yield pack(rows)
                     rows, held = [], 0
         if rows:
-            yield out(rows)
-
-    part = F.col("part") if "part" in docs.columns else F.lit(-1).cast("long").alias("part")
-    text = "body" if "body" in docs.columns else "text"
-    return docs.select(F.col("doc_id").cast("long"), text, part).mapInArrow(run, "bucket long, blob binary")
+            yield pack(rows)
 
+    return live.select("id", "n", "part", "blob").mapInArrow(run, "bucket long, blob binary")
 
-def _opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, ...]:
-    """Every set of the bucket; shingle, position and set of every posting."""
-    heads, toks, ranks = [], [], []
-    for blob in blobs:
-        m, p = np.frombuffer(blob, "<i8", 2)
-        at = 16 + m * kind.itemsize
-        heads.append(np.frombuffer(blob, kind, m, 16))
-        toks.append(np.frombuffer(blob, "<u8", p, at))
-        ranks.append(np.frombuffer(blob, "<u4", p, at + 8 * p))
-    head = np.concatenate(heads)
-    return head, np.concatenate(toks), np.concatenate(ranks), np.repeat(np.arange(len(head), dtype=np.int32), head["held"])
 
+def _lists(percent: int, near: int, best: bool):
+    """Blobs of a bucket become rows (a, b, score) of sets with different parts that can reach the threshold by size, position and sketch.
 
-def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Least overlap of sets of these sizes at the threshold."""
-    return -(-percent * (na + nb) // (100 + percent))
-
-
-def lists(percent: int, common: int, hubs: int, late: bool = False, apart: bool = False):
-    """Turns the blobs of a bucket into rows: pairs (a, b, shared, ia, ib, na, nb, starred) and, with b null, how many postings of a were common.
-
-    `late`: only pairs of different components, one of them known; a list is too long for sets of no known component only if
-    it is so by what all sets post at first. `apart`: no list is too long, but sets of a list's
-    most frequent component are not compared with each other.
+    `near`: only so many next entries of a list are met; 0 for all. `best`: only the highest score of each a.
     """
 
-    def pairs(lst, rank, n, size, probes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of entries to compare, block by block; what lies between blocks is skipped. Entries are in order of (list, size class, position)."""
-        key = (lst << 39) | (size << 32) | rank
-        some = np.arange(len(key)) if probes is None else np.flatnonzero(probes)
-        for step in (0, 1) if probes is None else (-1, 0, 1):
-            base = (lst[some] << 39) | ((size[some] + step) << 32)
-            low = base | np.maximum(0, rank[some] - n[some] * (100 - percent) // percent - 2)
-            high = base | (rank[some] + n[some] * (100 - percent) // percent + 2)
-            a, b = np.searchsorted(key, low), np.searchsorted(key, high, "right")
-            if probes is None and step == 0:
-                a = np.maximum(a, some + 1)
+    def windows(lst, size, rank, n, probes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of entries to compare, block by block. Entries are in order of (list, size class, position)."""
+        key = (lst << 38) | (size << 27) | rank
+        for step in (-1, 0, 1):
+            base = (lst[probes] << 38) | ((size[probes] + step) << 27)
+            a, b = np.searchsorted(key, base), np.searchsorted(key, base | (n[probes] * (100 - percent) // percent + 2), "right")
             many = np.maximum(0, b - a)
             total, done = np.cumsum(many), 0
-            while done < len(some):
-                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 200_000, "right")))
+            while done < len(probes):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
                 m = many[done:upto]
-                x = np.repeat(some[done:upto], m)
-                if len(x):
-                    yield x, np.repeat(a[done:upto], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+                x = np.repeat(probes[done:upto], m)
+                y = np.repeat(a[done:upto], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+                for at in range(0, len(x), PAIRS):
+                    yield x[at : at + PAIRS], y[at : at + PAIRS]
                 done = upto
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "shared", "ia", "ib", "na", "nb", "starred"]
-
-        def rows(*cols) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.bool_())], names)
-
-        def of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            """A bucket, in slices of some lists at a time: what numpy needs beside the postings follows the slice."""
-            head, tok, rank, own = _opened(blobs, _LATE if late else _HEAD)
-            blobs.clear()
-            slices = -(-len(tok) // SLICE)
-            which = ((tok >> np.uint64(7)) % np.uint64(slices)).astype(np.int32)
-            for k in range(slices):
-                at = np.flatnonzero(which == k)
-                yield from some_lists(head, tok[at], rank[at].astype(np.int64), own[at].astype(np.int64))
-
-        def some_lists(head: np.ndarray, tok: np.ndarray, rank: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(tok, kind="stable")
-            t = tok[order]
-            same = t[1:] == t[:-1]
-            twice = np.zeros(len(t), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            order = order[twice]
-            del t, same, twice
-            if not len(order):
-                return
-            # Equal sets from several batches: the smallest id of each stays in a list.
-            order = order[np.lexsort((*((-head["part"][own[order]],) if late else ()), head["id"][own[order]], head["key"][own[order]], tok[order]))]
-            t, k = tok[order], head["key"][own[order]]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            early = np.zeros(np.count_nonzero(fresh), bool)
-            if late:
-                early[(np.cumsum(fresh) - 1)[head["part"][own[order]] == -1]] = True
-            order = order[fresh]
-            t, who, rank_ = tok[order], own[order], rank[order]
-            n = head["n"][who].astype(np.int64)
-            lst = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])).astype(np.int64)
-            length = np.bincount(lst)
-            size = np.floor(np.log(n) / np.log(100 / percent) - 1e-9).astype(np.int64) + 1
-            big = (length[lst] > common) & (not apart)
-            part = head["part"][who] if late else None
-            small = (length[lst] > 1) & ~big
-            # Lists that only the known sets' further postings made long: what stood there before meets all of those, and isn't common.
-            ask = np.zeros(len(lst), bool)
-            if late and not apart:
-                ask = big & (part == -1) & (np.bincount(lst, early)[lst] <= common)
-            found: list[np.ndarray] = []
-
-            def keep(a: np.ndarray, b: np.ndarray, starred: bool) -> None:
-                """Pairs of entries that sizes and positions allow, as rows with a < b."""
-                ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (head["key"][who[a]] != head["key"][who[b]])
-                if late:
-                    ok &= (part[a] != part[b]) & (a != b)
-                a, b = a[ok], b[ok]
-                need = _need(n[a], n[b], percent)
-                ok = (rank_[a] - rank_[b] <= n[a] - need) & (rank_[b] - rank_[a] <= n[b] - need)
-                a, b = a[ok], b[ok]
-                flip = head["id"][who[a]] > head["id"][who[b]]
-                a, b = np.where(flip, b, a), np.where(flip, a, b)
-                found.append(np.stack([who[a], who[b], rank_[a], rank_[b], np.full(len(a), starred)]))
-
-            def merged() -> pa.RecordBatch | None:
-                if not found:
-                    return None
-                a, b, i, j, s = np.concatenate(found, axis=1)
-                found.clear()
-                if not len(a):
-                    return None
-                o = np.lexsort((b, a))
-                a, b, i, j, s = a[o], b[o], i[o], j[o], s[o]
-                cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                shared = np.add.reduceat(1 - s, cut)
-                return rows(head["id"][a[cut]], head["id"][b[cut]], shared, np.maximum.reduceat(i, cut), np.maximum.reduceat(j, cut), head["n"][a[cut]], head["n"][b[cut]], np.maximum.reduceat(s, cut) > 0)
-
-            at = np.flatnonzero(small)
-            at = at[np.lexsort((rank_[at], size[at], lst[at]))]
-            held = 0
-            if len(at):
-                rare = None
-                if apart:
-                    o = np.lexsort((part[at], lst[at]))
-                    run_ = np.cumsum(np.concatenate([[0], (lst[at][o][1:] != lst[at][o][:-1]) | (part[at][o][1:] != part[at][o][:-1])]))
-                    many = np.bincount(run_)
-                    first = np.flatnonzero(np.concatenate([[True], run_[1:] != run_[:-1]]))
-                    top = np.zeros(lst[at].max() + 1, np.int64)
-                    by = np.argsort(many, kind="stable")
-                    top[lst[at][o][first[by]]] = part[at][o][first[by]]
-                    rare = part[at] != top[lst[at]]
-                for x, y in pairs(lst[at], rank_[at], n[at], size[at], rare):
-                    keep(at[x], at[y], False)
-                    held += found[-1].shape[1]
-                    if held > 500_000:
-                        if (out := merged()) is not None:
-                            yield out
-                        held = 0
-            if ask.any():
-                at = np.flatnonzero(big & (np.bincount(lst, ask)[lst] > 0))
-                at = at[np.lexsort((rank_[at], size[at], lst[at]))]
-                for x, y in pairs(lst[at], rank_[at], n[at], size[at], ask[at]):
-                    keep(at[x], at[y], False)
-                    held += found[-1].shape[1]
-                    if held > 500_000:
-                        if (out := merged()) is not None:
-                            yield out
-                        held = 0
-            big &= ~ask
-            if big.any():
-                at = np.flatnonzero(big)
-                at = at[np.lexsort((head["key"][who[at]], lst[at]))]
-                cut = np.flatnonzero(np.concatenate([[True], lst[at][1:] != lst[at][:-1]]))
-                for lo, hi in zip(cut, [*cut[1:], len(at)], strict=True):
-                    for h in range(min(hubs, hi - lo) if not late else 0):
-                        keep(at[lo + h + 1 : hi], np.full(hi - lo - h - 1, at[lo + h]), True)
-                many = np.bincount(who[at], minlength=len(head))
-                live = np.flatnonzero(many)
-                none = [None] * len(live)
-                yield rows(head["id"][live], none, many[live], none, none, head["n"][live], none, np.ones(len(live), bool))
-            if (out := merged()) is not None:
-                yield out
-
-        now, blobs = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and blobs:
-                    yield from of(blobs)
-                    blobs = []
-                now = bucket
-                blobs.append(blob.as_py())
-        if blobs:
-            yield from of(blobs)
-
-    return run
-
-
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of those pairs whose whole texts reach the threshold.
-
-    Each text goes once to each hub it is compared with; a hub's partners are dealt to as many parts as they
+    def next_ones(lst) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for d in range(1, near + 1):
+            x = np.flatnonzero(lst[d:] == lst[:-d])
+            for at in range(0, len(x), PAIRS):
+                yield x[at : at + PAIRS], x[at : at + PAIRS] + d
+
+    def of(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        heads, toks, ranks = [], [], []
+        for blob in blobs:
+            m, p = (int(v) for v in np.frombuffer(blob, "<i8", 2))
+            at = 16 + m * _HEAD.itemsize
+            heads.append(np.frombuffer(blob, _HEAD, m, 16))
+            toks.append(np.frombuffer(blob, "<u8", p, at))
+            ranks.append(np.frombuffer(blob, "<u4", p, at + 8 * p))
+        head, tok, rank = np.concatenate(heads), np.concatenate(toks), np.concatenate(ranks).astype(np.int64)
+        blobs.clear()
+        del heads, toks, ranks
+        who = np.repeat(np.arange(len(head)), head["held"])
+        ids, part, full, known = head["id"], head["part"], head["n"].astype(np.int64), head["s"].astype(np.int64)
+        sketch = np.ascontiguousarray(head["sketch"])
+        wide = np.array([_width(x) for x in known.tolist()])
+        shorter = _halved(sketch) if len(np.unique(wide)) > 1 else sketch
+        # Lists of one part have nothing to compare.
+        order = np.argsort(tok, kind="stable")
+        t, g = tok[order], part[who[order]]
+        cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        lst = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(t))))
+        order = order[(np.minimum.reduceat(g, cut) < np.maximum.reduceat(g, cut))[lst]]
+        if not len(order):
+            return
+        lst = np.unique(tok[order], return_inverse=True)[1].astype(np.int64)
+        who, rank = who[order], rank[order]
+        n, g = full[who], part[who]
+        size = np.floor(np.log(n) / np.log(100 / percent) - 1e-9).astype(np.int64) + 1
+        order = np.lexsort((ids[who], rank, size, lst))
+        lst, who, rank, n, g, size = (v[order] for v in (lst, who, rank, n, g, size))
+        found: list[np.ndarray] = []
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            need = _need(n[x], n[y], percent)
+            ok = (g[x] != g[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (n[x] - rank[x] >= need) & (n[y] - rank[y] >= need)
+            a, b, need = who[x[ok]], who[y[ok]], need[ok]
+            if len(a) > 64:  # a pair meets in many lists
+                two = np.unique(np.minimum(a, b) * len(head) + np.maximum(a, b))
+                a, b = two // len(head), two % len(head)
+                need = _need(full[a], full[b], percent)
+            differ = np.bitwise_count(np.where((wide[a] > wide[b])[:, None], shorter[a], sketch[a]) ^ np.where((wide[b] > wide[a])[:, None], shorter[b], sketch[b])).sum(axis=1, dtype=np.int64)
+            room = known[a] + known[b] - 2 * need - differ
+            a, b, score = a[room >= 0], b[room >= 0], (room / (full[a] + full[b]))[room >= 0]
+            found.append(np.stack([np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])]) if best else np.stack([np.minimum(a, b), np.maximum(a, b), score]))
+
+        def merged() -> None:
+            """One row for each pair or, with `best`, for each set."""
+            a, b, score = np.concatenate(found, axis=1)
+            o = np.lexsort((ids[b.astype(np.int64)], -score, a)) if best else np.lexsort((b, a))
+            a, b, score = a[o], b[o], score[o]
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            if not best:
+                new[1:] |= b[1:] != b[:-1]
+            found[:] = [np.stack([a[new], b[new], score[new]])]
+
+        def out() -> pa.RecordBatch:
+            merged()
+            a, b, score = found.pop()
+            return pa.RecordBatch.from_arrays([pa.array(ids[a.astype(np.int64)], pa.int64()), pa.array(ids[b.astype(np.int64)], pa.int64()), pa.array(score, pa.float64())], ["a", "b", "score"])
+
+        if near:
+            pairs = next_ones(lst)
+        else:
+            o = np.lexsort((g, lst))
+            run = np.flatnonzero(np.concatenate([[True], (lst[o][1:] != lst[o][:-1]) | (g[o][1:] != g[o][:-1])]))
+            many = np.diff(np.append(run, len(o)))
+            top = np.zeros(lst[-1] + 1, np.int64)
+            by = np.argsort(many, kind="stable")
+            top[lst[o][run][by]] = g[o][run][by]
+            pairs = windows(lst, size, rank, n, np.flatnonzero(g != top[lst]))
+        held = 0
+        for x, y in pairs:
+            keep(x, y)
+            held += found[-1].shape[1]
+            if held > 500_000:
+                merged()
+                held = found[0].shape[1]
+                if held > 250_000:
+                    yield out()
+                    held = 0
+        if found:
+            yield out()
+
+    return _by_bucket(of)
+
+
+def _verified(live: DataFrame, pairs: DataFrame, percent: int, name: str) -> Table:
+    """(a, b) of those pairs (a, b) whose whole sets reach the threshold.
+
+    Each set goes once to each hub it is compared with; a hub's partners are dealt to as many parts as they
     need, and a part is read as a stream with the hub first, so neither grows with the group.
     """
     deg = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     dealt = pairs.join(deg, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), (F.col("deg") / 500).cast("long") + 1).alias("part"), F.col("b").alias("id"), F.lit(1).alias("role"))
-    hub = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("role"))
-    asked = dealt.union(hub)
-    width = shuffle_width(docs.sparkSession)
-    texts = bodies(docs).withColumnRenamed("doc_id", "id")
-    sent = texts.join(asked.hint("shuffle_hash"), "id").select("hub", "part", "role", "id", "body").repartition(width, "hub", "part").sortWithinPartitions("hub", "part", "role")
+    asked = dealt.union(dealt.select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("role")).distinct())
+    sent = live.select("id", "n", "blob").join(asked.hint("shuffle_hash"), "id").select("hub", "part", "role", "id", "n", "blob").repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, mine = None, None
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            hubs, parts, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "part", "role", "id"))
+        of, mine = None, []
+        for batch in batches:
+            hubs, parts, roles, ids, n = (batch.column(c).to_pylist() for c in ("hub", "part", "role", "id", "n"))
             a, b = [], []
-            for piece in pieces(texts_of(batch)):
-                for t, x in zip(range(piece.lo, piece.hi), shingle_sets(piece, k), strict=True):
-                    if roles[t] == 0:
-                        of, mine = (hubs[t], parts[t]), x
-                    elif of == (hubs[t], parts[t]) and len(x) and len(mine):
-                        at = np.searchsorted(mine, x)
-                        at[at == len(mine)] = 0
-                        shared = int(np.count_nonzero(mine[at] == x))
-                        if 100 * shared >= percent * (len(x) + len(mine) - shared):
-                            a.append(hubs[t])
-                            b.append(ids[t])
+            for t, blob in enumerate(batch.column("blob")):
+                x = np.frombuffer(blob.as_py(), "<u8")
+                if roles[t] == 0:
+                    mine = [*(mine if of == (hubs[t], parts[t]) else []), (n[t], np.sort(x))]
+                    of = hubs[t], parts[t]
+                    continue
+                for m, y in mine if of == (hubs[t], parts[t]) else []:
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    shared = int(np.count_nonzero(y[at] == x))
+                    if 100 * shared >= percent * (n[t] + m - shared):
+                        a.append(hubs[t])
+                        b.append(ids[t])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
+    return Table(sent.mapInArrow(run, "a long, b long").distinct(), name)
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, common: int = 64, hubs: int = 8) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, near: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text; other columns are ignored).
 
     n_shingles is the size of the row's set; component_id the smallest doc_id that it reaches through pairs whose
     Jaccard similarity is at least `percent` / 100. Null and empty texts have no shingles and reach only themselves;
     rows with equal texts are linked; a row whose doc_id is null takes no part and has a null component; rows that share a
-    doc_id count as one. An empty table gives an empty result.
+    doc_id count as one. An empty table gives an empty result. `near`: neighbours that a set meets in a list in the first
+    round; any number gives the same result. Shingles and sets are compared by 64 and 128 bits of hash.
     """
-    spark = docs.sparkSession
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
     docs = docs.select("doc_id", "text")
-    sets = written(summaries(docs, k), "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    known = sets.where("doc_id is not null")
-    least = known.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = known.join(least, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    buckets = max(8, -(-total * 2 * (100 - percent) // 100 // BUCKET))
-    rows = _candidates(postings(docs, k, percent, buckets), buckets, lists(percent, common, hubs))
-    frequent = _frequent(rows)
-    possible = written(_alike(_possible(rows, percent), sets, percent), "possible")
-    links = _confirmed(docs, possible, k, percent)
-    part = written(components(links), "parts")
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) + 1
-    short = known.join(frequent, F.col("doc_id") == F.col("id")).where(F.least(F.col("n"), 2 * prefix) - F.col("h") < prefix).select("doc_id", "n").distinct()
-    short = written(short.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("part")), "short")
-    if short.first() is not None:
-        links = links.union(_settled(docs, sets, short, buckets, k, percent, common, prefix))
-    part = components(links.union(copies))
+    sets = _sets(docs, k, percent).df
+    known = sets.where("doc_id is not null and n > 0").select("doc_id", "n", "d1", "d2")
+    least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    links = known.join(least, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    if percent < 100:
+        for found in _links(sets, percent, near):
+            links = links.union(found)
+    part = components(links)
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _candidates(posted: DataFrame, buckets: int, run) -> DataFrame:
-    spark = posted.sparkSession
-    width = int(min(buckets, 4 * max(8, shuffle_width(spark))))
-    rows = posted.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, ia long, ib long, na long, nb long, starred boolean")
-    rows = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rows = written(rows, "candidates")
-    return rows
-
-
-def _frequent(rows: DataFrame) -> DataFrame:
-    """(id, h): how many postings of a set stand in lists that are too long."""
-    return rows.where("b is null").select(F.col("a").alias("id"), F.col("shared").alias("h"))
-
-
-def _possible(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that can still reach the threshold: shingles found in common, those in long lists, and what follows the last position."""
-    often = _frequent(rows)
-    pairs = rows.where("b is not null").join(often.withColumnsRenamed({"id": "a", "h": "ha"}), "a", "left").join(often.withColumnsRenamed({"id": "b", "h": "hb"}), "b", "left")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
-    bound = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    met = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    return pairs.where(bound >= need).select("a", "b", (met / F.least("na", "nb")).alias("met"))
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Enough of the true pairs among (a, b, met) to tie together what all of them would.
-
-    First each set is verified against one partner only: of those that it seems closest to, the one with the most
-    partners. Pairs within what this ties together need no answer of their own; the others are verified then.
-    """
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "met").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "met"))
-    deg = both.groupBy("u").agg(F.count("*").alias("deg"))
-    ranked = both.join(deg.withColumnRenamed("u", "v"), "v")
-    best = ranked.groupBy("u").agg(F.max(F.struct(F.floor(F.col("met") * 20), "deg", -F.col("v"))).alias("x")).select((-F.col("x.col3")).alias("a"), F.col("u").alias("b"))
-    tied = written(verified(docs, best, k, percent), "links")
-    part = components(tied)
-    left = pairs.join(part.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left").join(part.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
-    left = left.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-    links = tied.union(written(verified(docs, left, k, percent), "links"))
+def _links(sets: DataFrame, percent: int, near: int) -> list[DataFrame]:
+    """Enough of the true pairs (a, b) of different sets to tie together what all of them would: three rounds, as in 5. above."""
+    one = sets.where("blob is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "blob")).alias("x"))
+    live = Table(one.select(F.col("x.doc_id").alias("id"), "n", F.col("x.blob").alias("blob")), "live").df
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) + 1 - (F.col("n") - F.length("blob") / 8)
+    total = live.agg(F.sum(prefix).alias("p")).first()["p"]
+    if not total:
+        return []
+    buckets = int(max(8, -(-int(total) // POSTS)))
+    links: list[DataFrame] = []
+    now = live.withColumn("part", F.col("id"))
+    for meet, best in ((near, True), (0, True), (0, False)):
+        posted = _postings(now, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        pairs = posted.mapInArrow(_lists(percent, meet, best), "a long, b long, score double")
+        if best:
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        pairs = Table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        links.append(_verified(live, pairs.df, percent, "links").df)
+        pairs.drop()
+        if best:
+            tied = links[0]
+            for x in links[1:]:
+                tied = tied.union(x)
+            part = components(tied).select(F.col("node").alias("id"), "component")
+            now = live.join(part, "id", "left").select("id", "n", "blob", F.coalesce("component", "id").alias("part"))
     return links
-
-
-def _settled(docs: DataFrame, sets: DataFrame, short: DataFrame, buckets: int, k: int, percent: int, common: int, prefix) -> DataFrame:
-    """Links of the sets in `short` (doc_id, n, part), too few of whose postings stand in short lists, with sets of other components.
-
-    They post everything, so that whatever shares a rare shingle with them meets them; the other sets' shingles stay rare
-    where only these postings make a list long. Those that have too few rare
-    shingles in all are then compared among themselves in lists of any length, but never within a component: there
-    the answers follow from those already found.
-    """
-    texts = bodies(docs).join(short.hint("shuffle_hash"), "doc_id")
-    both = postings(docs, k, percent, buckets, late=True).union(postings(texts, k, percent, buckets, late=True, whole=True))
-    rows = _candidates(both, buckets, lists(percent, common, 0, late=True))
-    some = rows.where("b is not null").join(short.select(F.col("doc_id").alias("a"), F.lit(1).alias("sa")), "a", "left").join(short.select(F.col("doc_id").alias("b"), F.lit(1).alias("sb")), "b", "left")
-    some = some.where("sa is not null or sb is not null").drop("sa", "sb").unionByName(rows.where("b is null"))
-    links = _confirmed(docs, written(_alike(_possible(some, percent), sets, percent), "possible"), k, percent)
-    rare = written(short.join(_frequent(rows), F.col("doc_id") == F.col("id")).where(F.col("n") - F.col("h") < prefix).select("doc_id", "part"), "rare")
-    if rare.first() is None:
-        return links
-    texts = bodies(docs).join(rare.hint("shuffle_hash"), "doc_id")
-    rows = _candidates(postings(texts, k, percent, buckets, late=True), buckets, lists(percent, common, 0, late=True, apart=True))
-    return links.union(_confirmed(docs, written(_alike(_possible(rows, percent), sets, percent), "possible"), k, percent))

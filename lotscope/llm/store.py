@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch(spark: SparkSession) -> str:
     """One folder for each application under spark.checkpoint.dir, removed when the driver ends.
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in for it.
+    Where the setting is absent on one machine, as in tests, a temporary folder stands in for it; a cluster must name a shared one.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             top = "file://" + tempfile.mkdtemp(prefix="lotscope-")
             spark.conf.set("spark.checkpoint.dir", top)
         _FOLDERS[app] = f"{top.rstrip('/')}/lotscope-{uuid.uuid4().hex}"

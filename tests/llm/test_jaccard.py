@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from lotscope.llm import jaccard
+from lotscope.llm.components import components
 from lotscope.llm.jaccard import jaccard_join
 
 
@@ -43,10 +45,11 @@ def rows_of(seed, n=160):
     return out + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, "one"), (n + 4, "ONE")]
 
 
-@pytest.mark.parametrize("common,hubs", [(64, 8), (3, 1), (2, 0)])
-def test_equals_brute_force(spark, common, hubs):
-    rows = rows_of(common)
-    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), common=common, hubs=hubs).collect()
+@pytest.mark.parametrize("near,pairs", [(8, 100_000), (1, 50), (2, 7)])
+def test_equals_brute_force(spark, near, pairs, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rows = rows_of(near)
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), near=near).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
     assert len(got) == len(rows)
 
@@ -67,5 +70,47 @@ def test_tiny_documents_inside_large_groups(spark):
         line, long = [word() for _ in range(9)], [word() for _ in range(60)]
         texts += [line, line[:8], *(long[:30] + line + long[30 + i :] for i in range(6))]
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
-    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), common=4, hubs=0).collect()
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), near=1).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [60, 95, 99, 100])
+def test_other_thresholds(spark, percent):
+    rows = rows_of(percent, 120) + [(1000 + i, " ".join(f"w{j}" for j in range(i % 3, 900 + 4 * i))) for i in range(6)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, percent=percent)
+    with pytest.raises(ValueError):
+        jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=0)
+
+
+def test_long_texts_and_a_large_group(spark):
+    """Texts of 30,000 words, and near copies whose similarities lie about the threshold."""
+    r = random.Random(4)
+    long = [str(r.random()) for _ in range(30_000)]
+    base = [str(r.random()) for _ in range(100)]
+    texts = [" ".join(long), " ".join(long[:27_000]), " ".join(long[2000:26_000])]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(100)] = str(r.random())
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows)
+
+
+def test_components_by_stars_and_by_one_task(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    up = {}
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        p, q = root(a), root(b)
+        up[max(p, q)] = min(p, q)
+    want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for room in (0, 1_000_000):
+        assert {x.node: x.component for x in components(df, room=room).collect()} == want
