@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.store import shuffle_width, written
+from lotscope.llm.store import written
 from lotscope.llm.vectors import rows, units
 
 _ROW = "dim int, id long, perm string, unit binary"
@@ -156,8 +156,7 @@ def ball_pairs(centres: DataFrame, theta: float, pivots: Broadcast, prefix: int,
     sent = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", "key", "ball", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
     full = centres.select("dim", "ball", "unit", "wide").mapInArrow(_halved, "dim int, ball long, unit binary, wide double")
     sent = sent.join(full, ["dim", "ball"])
-    width = shuffle_width(centres.sparkSession)
-    sent = sent.select("dim", "key", "x", "y", "p", "ball", "unit", "wide").repartition(width, "dim", "key", "x", "y").sortWithinPartitions("dim", "key", "x", "y")
+    sent = sent.select("dim", "key", "x", "y", "p", "ball", "unit", "wide").repartition("dim", "key", "x", "y").sortWithinPartitions("dim", "key", "x", "y")
 
     def compare(d: int, x: int, y: int, held_: pa.Table) -> pa.RecordBatch | None:
         u, ball, wide, p = _units(held_.column("unit"), d, np.float32), held_.column("ball").to_numpy(), held_.column("wide").to_numpy(), held_.column("p").to_numpy()
@@ -210,8 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     theta = float(np.arccos(threshold))
     refs = vectors.sparkSession.sparkContext.broadcast(reference_points(vectors, id_col, vec_col, pivots))
     base = described(vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()), id_col, vec_col, refs, prefix)
-    width = shuffle_width(vectors.sparkSession)
-    member = written(balls(base.repartitionByRange(width, "dim", "perm", "id").sortWithinPartitions("dim", "perm", "id"), theta / 2), "members")
+    member = written(balls(base.repartitionByRange("dim", "perm", "id").sortWithinPartitions("dim", "perm", "id"), theta / 2), "members")
     size = member.groupBy("dim", "ball").agg(F.count("*").alias("size"), F.max("angle").alias("wide"))
     centres = written(member.where("id = ball").dropDuplicates(["dim", "ball"]).select("dim", "ball", "unit").join(size, ["dim", "ball"]), "centres")
     pairs = written(ball_pairs(centres, theta, refs, prefix, shared, block), "pairs")
@@ -221,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     more = both.join(sizes.withColumnsRenamed({"ball": "other"}), ["dim", "other"]).groupBy("dim", "ball").agg(F.sum("size").alias("more"))
     single = written(_members(member, pairs.where("not all"), sizes, threshold, block), "single")
     own = member.join(sizes, ["dim", "ball"]).join(more, ["dim", "ball"], "left").select("id", "ball", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n"))
-    extra = single.select(F.col("a").alias("id"), "na").union(single.select(F.col("b").alias("id"), F.col("nb").alias("na"))).groupBy("id").agg(F.sum("na").alias("extra"))
+    extra = single.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("extra"))
     links = own.select(F.col("id").alias("a"), F.col("ball").alias("b")).union(sure.select("a", "b")).union(single.select("a", "b"))
     part = components(links).withColumnRenamed("node", "id")
     counts = own.groupBy("id").agg(F.max("n").alias("n"))
@@ -232,15 +230,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
 
 def _members(member: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links between members of balls of which only some may be linked: (a, b, na, nb), one row for each link."""
+    """For members of balls of which only some may be linked: (a, b, n), how many links a has here and one of those it is linked with. Rows follow the members, not their links."""
     parts = lambda s: F.ceil(F.col(s) / block).cast("int")
     known = pairs.join(sizes.withColumnsRenamed({"ball": "a", "size": "sa"}), ["dim", "a"]).join(sizes.withColumnsRenamed({"ball": "b", "size": "sb"}), ["dim", "b"])
     cells = known.withColumn("x", F.explode(F.sequence(F.lit(0), parts("sa") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), parts("sb") - 1))).withColumn("pa", parts("sa")).withColumn("pb", parts("sb"))
     side = lambda one, part, many, role: cells.select("dim", "a", "b", "x", "y", F.col(one).alias("ball"), F.col(part).alias("part"), F.col(many).alias("many"), F.lit(role).alias("role"))
     asked = side("a", "x", "pa", 0).union(side("b", "y", "pb", 1))
     sent = member.select("dim", "ball", "id", "unit").join(asked, ["dim", "ball"]).where(F.pmod(F.xxhash64("id"), F.col("many")) == F.col("part"))
-    width = shuffle_width(member.sparkSession)
-    sent = sent.select("dim", "a", "b", "x", "y", "role", "id", "unit").repartition(width, "dim", "a", "b", "x", "y").sortWithinPartitions("dim", "a", "b", "x", "y", "role")
+    sent = sent.select("dim", "a", "b", "x", "y", "role", "id", "unit").repartition("dim", "a", "b", "x", "y").sortWithinPartitions("dim", "a", "b", "x", "y", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -252,7 +249,10 @@ def _members(member: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: f
             role, ids, u = t.column("role").to_numpy(), t.column("id").to_numpy(), _units(t.column("unit"), now[0])
             i, j = np.nonzero(u[role == 0] @ u[role == 1].T >= threshold)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[role == 0][i]), pa.array(ids[role == 1][j]), pa.array(np.ones(len(i), np.int64)), pa.array(np.ones(len(i), np.int64))], ["a", "b", "na", "nb"])
+                one, two = ids[role == 0], ids[role == 1]
+                p, at, n = np.unique(i, return_index=True, return_counts=True)
+                q, to, m = np.unique(j, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one[p], two[q]])), pa.array(np.concatenate([two[j[at]], one[i[to]]])), pa.array(np.concatenate([n, m]).astype(np.int64))], ["a", "b", "n"])
 
         for batch in batches:
             cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "a", "b", "x", "y")])
@@ -266,4 +266,4 @@ def _members(member: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: f
                 held.append(batch.slice(s, e - s))
         yield from flush()
 
-    return sent.mapInArrow(run, "a long, b long, na long, nb long")
+    return sent.mapInArrow(run, "a long, b long, n long")

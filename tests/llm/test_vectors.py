@@ -70,6 +70,65 @@ def test_neighbours_recall_and_ties(spark):
     assert [r.vec_id for r in sorted(by[0], key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
 
 
+def test_neighbours_of_multiples_go_by_id(spark):
+    r = np.random.default_rng(6)
+    one = r.standard_normal(16)
+    rows = [(i, (one * 2.0 ** (i % 9 - 4)).tolist()) for i in range(100)] + [(100 + i, v.tolist()) for i, v in enumerate(r.standard_normal((400, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours(df, df.where("vec_id in (0, 50)"), shard_rows=250).orderBy("query_id", "rank").collect()
+    assert [x.vec_id for x in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+
+
+def test_neighbours_single_row_repeated_ids_and_long_vectors(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score string")
+    assert neighbours(make([(1, [1.0, 2.0], "", "")]), make([(1, [1.0, 2.0], "", "")])).count() == 0
+    df = make([(1, [1.0, 0.0], "", ""), (1, [1.0, 0.0], "", ""), (2, [1.0, 1.0], "", ""), (2, [0.0, 1.0], "", ""), (3, [0.0, 2.0], "", "")])
+    got = neighbours(df, df.where("vec_id = 1")).orderBy("rank").collect()
+    assert [(x.rank, x.vec_id) for x in got] == [(1, 2), (2, 3)] and abs(got[0].score - 0.5**0.5) < 1e-15
+    r = np.random.default_rng(7)
+    far = make([(i, v.tolist(), "", "") for i, v in enumerate(r.standard_normal((12, 5000)))])
+    assert neighbours(far, far.where("vec_id = 0")).count() == 5
+
+
+def test_neighbours_recall_and_comparisons_at_the_default_parameters(spark):
+    """Of the table's own vectors, as one shard: recall of the graph, and how much of the shard a search looks at."""
+    import inspect
+
+    from lotscope.llm.ann import beam_search, build, nodes_of
+    from lotscope.llm.vectors import rows, units
+
+    at = {n: p.default for n, p in inspect.signature(neighbours).parameters.items()}
+    t = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").where(f"vec_id < {at['shard_rows']}").orderBy("vec_id").toArrow().combine_chunks()
+    ids, x = rows(t.column("vec_id").combine_chunks(), t.column("embedding").combine_chunks())[64]
+    kept, first = nodes_of(x, ids, 5)
+    u = units(x[kept[first]]).astype(np.float32)
+    edges, starts = build(u, at["degree"], at["build_beam"], at["alpha"], at["entries"], 0)
+    q = u[::50]
+    found, _, share = beam_search(u, edges, starts, q, at["beam"])
+    sims = q @ u.T
+    sims[np.arange(len(q)), np.arange(len(q)) * 50] = -2
+    best = np.argsort(-sims, axis=1)[:, :5]
+    recall = np.mean([len(set(a) & set(b)) for a, b in zip(found.tolist(), best.tolist(), strict=True)]) / 5
+    print("recall", recall, "share compared", share)
+    assert recall >= 0.93 and share < 0.1
+
+
+def test_near_duplicates_recall_at_the_default_parameters(spark):
+    """64 dimensions: groups of all widths, large and small, around the threshold."""
+    r = np.random.default_rng(9)
+    x = [r.standard_normal((1500, 64))]
+    for size, wide in [(900, 0.2), (600, 0.3), (500, 0.36), *[(12, 0.25), (12, 0.33), (12, 0.4)] * 30]:
+        x.append(r.standard_normal(64) + wide * r.standard_normal((size, 64)))
+    x = np.concatenate(x)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    got = near_duplicates(df).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    print("recall", got.sum() / near.sum())
+    assert 0.97 * near.sum() <= got.sum() <= near.sum() + 4
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, id string, dim string")
     assert near_duplicates(none).count() == 0 and neighbours(none, none).count() == 0
