@@ -81,9 +81,11 @@ class QualityModel:
     def _margins(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for piece in pieces(texts):
             f, first = features(piece, len(self.weights))
-            total = np.concatenate([[0.0], np.cumsum(self.weights[f].sum(axis=1))]) if len(f) else np.zeros(1)
             n = np.diff(first)
-            yield self.bias + (total[first[1:]] - total[first[:-1]]) * (SCALE / np.maximum(n, 1))
+            total = np.zeros(len(n))
+            if len(f):  # each text is summed by itself, so its score doesn't depend on its neighbours
+                total[n > 0] = np.add.reduceat(self.weights[f].sum(axis=1, dtype=np.float64), first[:-1][n > 0])
+            yield self.bias + total * (SCALE / np.maximum(n, 1))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -127,7 +129,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = 6000, octets:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
-    """`docs` with the model's score of each whole text in `column`, which replaces one of that name. Null and empty texts get the score of no evidence."""
+    """`docs` with the model's score of each whole text in `column`, which replaces one of that name.
+
+    Null and empty texts get the score of no evidence; equal texts get equal scores, whatever stands beside them; rows are kept as they
+    are, repeated ones too; an empty table gives an empty result. Texts are read in pieces of a megabyte, a longer one by itself.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
