@@ -28,7 +28,7 @@ def test_targets_bounds_and_emitted_words(spark):
     for i in range(600):
         n = r.choice([0, 1, 7, 90, 100, 250, 1300])
         rows.append((i, r.choice([" ", "\n"]).join(f"w{j}" for j in range(n)) or None, r.choice(["a", "a", "a", "b", "Z", None, "é"]), n))
-    rows += [rows[5], rows[5], (None, "x y z", "b", 3), (7000, "", "empty", 0)]
+    rows += [rows[5], rows[5], (None, "x y z", "b", 3), (None, "x y z", "b", 3), (None, "x y w", "b", 3), (7000, "", "empty", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
     mixed = mix(df)
     got = mixed.collect()
@@ -49,6 +49,11 @@ def test_targets_bounds_and_emitted_words(spark):
         words[x.source] += len(WORD.findall(x.text))
         assert x.n_chars == len(x.text)
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
+    texts = {str(r[0]): WORD.findall(r[1] or "") for r in rows if r[0] is not None}
+    for x in (x for x in out if x.doc_id is not None):  # a copy is the whole text, or its beginning with or without the last words
+        full, w = texts[str(x.doc_id)], WORD.findall(x.text)
+        cut = len(full) - len(full) % 100
+        assert w == full or w in (full[: len(w)], full[: len(w) - len(full) % 100] + full[cut:])
     again = mix(df.repartition(7)).collect()
     key = lambda x: (str(x.doc_id), x.size, x.taken)
     assert sorted(map(key, again)) == sorted(map(key, got))
@@ -57,3 +62,14 @@ def test_targets_bounds_and_emitted_words(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, size string")
     assert mix(df).count() == 0 and emitted(df, mix(df)).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "w " * (i % 350), "a" if i % 2 else "b", "s", "t", "n", "w") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, taken string, nth string, whole string")
+    mixed = mix(df)
+    got = mixed.collect()
+    assert len(got) == 300 and all(r.size == len(WORD.findall(rows[r.doc_id][1])) for r in got)
+    out = emitted(df, mixed)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {("s", "t", "n", "w")}
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
