@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotscope.llm.store import shuffle_width, written
+from lotscope.llm.store import written
 from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix, zipped, unzipped
 
 #: Windows that one task compares: about 150 MB with what numpy needs beside them.
@@ -123,18 +123,21 @@ def _judged(groups: int):
             least = np.minimum.reduceat(ids[order], cut) if len(cut) else ids[:0]
             again = np.empty(len(h), bool)
             again[order] = ids[order] > np.repeat(least, np.diff(np.append(cut, len(s))))
-            keys, outs, at = [], [], 0
-            for head, bits, sent in got:
-                full = np.ones(len(bits), bool)
-                full[bits] = again[at : at + len(sent)]
-                at += len(sent)
-                g = _group(head["id"], groups)
-                own = np.repeat(g, head["n"])
-                for x in np.unique(g[np.bincount(np.repeat(np.arange(len(head)), head["n"]), full, len(head)) > 0]):
-                    some, mine = g == x, own == x
-                    keys.append(int(x))
-                    outs.append(np.array([some.sum(), mine.sum()], "<i8").tobytes() + head[some].tobytes() + np.packbits(full[mine]).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([bucket] * len(keys), pa.int64()), pa.array(outs, pa.binary())], ["grp", "bucket", "blob"])
+            head, bits = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+            full = np.ones(len(bits), bool)
+            full[bits] = again
+            n = head["n"].astype(np.int64)
+            start = np.cumsum(n) - n
+            some = np.flatnonzero(np.add.reduceat(full, start)) if len(head) else start
+            grp = _group(head["id"][some], groups)
+            some, grp = some[np.argsort(grp, kind="stable")], np.sort(grp, kind="stable")
+            ends = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]])) if len(grp) else np.zeros(1, np.int64)
+            outs = []
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                mine = some[lo:hi]
+                at = np.repeat(start[mine] - np.cumsum(n[mine]) + n[mine], n[mine]) + np.arange(n[mine].sum())
+                outs.append(np.array([len(mine), len(at)], "<i8").tobytes() + head[mine].tobytes() + np.packbits(full[at]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(grp[ends[:-1]], pa.int64()), pa.array([bucket] * len(outs), pa.int64()), pa.array(outs, pa.binary())], ["grp", "bucket", "blob"])
 
         now, blobs = None, []
         for batch in batches:
@@ -211,12 +214,10 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     that share a doc_id never remove each other's words; a row whose doc_id is null loses nothing and removes nothing.
     The added columns replace columns of the same name. Window hashes have 64 bits and are not compared word by word.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = int(max(8, -(-size // 6 // BUCKET)))
     groups = int(max(16, -(-size // (4 << 20)))) | 1
-    wide = shuffle_width(spark)
-    asked = requests(docs, width, buckets).repartition(min(buckets, 4 * max(8, wide)), "bucket").sortWithinPartitions("bucket")
+    asked = requests(docs, width, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = written(asked.mapInArrow(_judged(groups), "grp long, bucket long, blob binary"), "answers")
     added = ["kept", "n_words", "n_removed", "cuts"]
     own = [c for c in docs.columns if c not in added]
@@ -225,7 +226,7 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     texts = docs.select(F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), doc.alias("doc"), "text")
     texts = zipped(texts).withColumn("turn", F.lit(1))
     blobs = answers.select("grp", "bucket", "blob", F.lit(None).cast(texts.schema["doc"].dataType).alias("doc"), F.lit(None).cast("binary").alias("body"), F.lit(0).alias("turn"))
-    sent = texts.union(blobs).repartition(min(groups, 4 * max(8, wide)), "grp").sortWithinPartitions("grp", "turn")
+    sent = texts.union(blobs).repartition(-(-groups // 4), "grp").sortWithinPartitions("grp", "turn")
     schema = T.StructType([texts.schema["doc"], T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     out = sent.mapInArrow(_cut(width, buckets, schema), schema)
     return out.select(*("text" if c == "text" else F.col(f"doc.`{c}`") for c in own), *added)
