@@ -439,8 +439,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, near: int = 8)
     docs = docs.select("doc_id", "text")
     sets = _sets(docs, k, percent).df
     known = sets.where("doc_id is not null and n > 0").select("doc_id", "n", "d1", "d2")
-    least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    links = known.join(least, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Equal sets are tied in two steps, so that a large group of copies is dealt out: to the smallest id of their part, and that to the smallest of all.
+    key = ["n", "d1", "d2"]
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    near_ = dealt.groupBy(*key, "salt").agg(F.min("doc_id").alias("rep"))
+    least = near_.groupBy(*key).agg(F.min("rep").alias("least"))
+    links = dealt.join(near_, [*key, "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = links.union(near_.join(least, key).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     if percent < 100:
         for found in _links(sets, percent, near):
             links = links.union(found)
