@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import written
+from lotscope.llm.store import lean, written
 from lotscope.llm.vectors import rows, units
 
 _INDEX = "shard long, dim int, first binary, edges binary, vectors binary, ids binary, starts binary"
@@ -190,7 +190,7 @@ def index(vectors: DataFrame, id_col: str, vec_col: str, shards: int, k: int, de
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in _INDEX.split(", ")])
 
     dealt = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_grouped("shard", made), _INDEX)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_grouped("shard", made)), _INDEX)
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 16384, degree: int = 32, build_beam: int = 64, beam: int = 48, alpha: float = 1.2, entries: int = 64, block_rows: int = 256) -> DataFrame:
@@ -211,7 +211,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         return pa.RecordBatch.from_arrays([pa.array([block] * len(got), pa.int64()), pa.array(list(got), pa.int32()), pa.array([x.tobytes() for _, x in got.values()], pa.binary()), pa.array([i.tobytes() for i, _ in got.values()], pa.binary())], ["block", "dim", "vectors", "ids"])
 
     asked = asked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), "id", "vec")
-    asked = written(asked.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_grouped("block", packed), "block long, dim int, vectors binary, ids binary"), "queries")
+    asked = written(asked.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lean(_grouped("block", packed)), "block long, dim int, vectors binary, ids binary"), "queries")
     # A turn of a shard is read as a stream, its index first: that is held once, whatever the number of queries.
     turns = -(-blocks // _TURN)
     none = F.lit(None).cast("binary")
@@ -252,6 +252,6 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 elif d in known:
                     yield answers(known[d], x, ids)
 
-    best = sent.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = sent.mapInArrow(lean(search), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import written
+from lotscope.llm.store import lean, written
 from lotscope.llm.urls import host_and_path
 
 # Names of HTML's elements, and words by which pages mark what isn't their article.
@@ -176,7 +176,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
                     hashes += got
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
 
-    return pages.select(host_and_path()[0].alias("host"), "html").mapInArrow(run, "host string, page long, hash long")
+    return pages.select(host_and_path()[0].alias("host"), "html").mapInArrow(lean(run), "host string, page long, hash long")
 
 
 def templates(pages: DataFrame, least: int, share: float) -> DataFrame:
@@ -208,4 +208,4 @@ def extract(pages: DataFrame, least: int = 10, share: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["page_id", "url", "host", "text"])
 
     kinds = dict(urls.dtypes)
-    return urls.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, text string")
+    return urls.mapInArrow(lean(run), f"page_id {kinds['page_id']}, url string, host string, text string")

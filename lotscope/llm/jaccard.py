@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.store import Table
+from lotscope.llm.store import Table, lean
 from lotscope.llm.words import digest, pieces, shingle_sets, unzipped, zipped
 
 #: Shingles that one task counts: about 200 MB with what numpy needs beside them.
@@ -103,7 +103,7 @@ def _questions(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         if rows:
             yield pack(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "bucket long, blob binary")
 
 
 def _opened(blob: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> Table:
     buckets = int(max(8, -(-size // 6 // BUCKET)))
     groups = int(max(16, -(-size // GROUP))) | 1
     asked = _questions(docs, k, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = Table(asked.mapInArrow(_counted(groups), "grp long, bucket long, blob binary"), "answers")
+    answers = Table(asked.mapInArrow(lean(_counted(groups)), "grp long, bucket long, blob binary"), "answers")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     texts = docs.select(F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).alias("grp"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.col("doc_id").cast("long"), "text")
     texts = zipped(texts).withColumn("turn", F.lit(1))
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> Table:
             cols = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "blob" else pa.int64()) for name, c in zip(names, cols, strict=True)], names)
 
-    made = Table(sent.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, blob binary"), "sets")
+    made = Table(sent.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, blob binary"), "sets")
     answers.drop()
     return made
 
@@ -272,7 +272,7 @@ def _postings(live: DataFrame, percent: int, buckets: int) -> DataFrame:
         if rows:
             yield pack(rows)
 
-    return live.select("id", "n", "part", "blob").mapInArrow(run, "bucket long, blob binary")
+    return live.select("id", "n", "part", "blob").mapInArrow(lean(run), "bucket long, blob binary")
 
 
 def _lists(percent: int, near: int, best: bool):
@@ -422,7 +422,7 @@ def _verified(live: DataFrame, pairs: DataFrame, percent: int, name: str) -> Tab
                         b.append(ids[t])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return Table(sent.mapInArrow(run, "a long, b long").distinct(), name)
+    return Table(sent.mapInArrow(lean(run), "a long, b long").distinct(), name)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, near: int = 8) -> DataFrame:
@@ -466,7 +466,7 @@ def _links(sets: DataFrame, percent: int, near: int) -> list[DataFrame]:
     now = live.withColumn("part", F.col("id"))
     for meet, best in ((near, True), (0, True), (0, False)):
         posted = _postings(now, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        pairs = posted.mapInArrow(_lists(percent, meet, best), "a long, b long, score double")
+        pairs = posted.mapInArrow(lean(_lists(percent, meet, best)), "a long, b long, score double")
         if best:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         pairs = Table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")

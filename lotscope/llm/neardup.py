@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.store import written
+from lotscope.llm.store import lean, written
 from lotscope.llm.vectors import rows, units
 
 _ROW = "dim int, id long, perm string, unit binary"
@@ -62,7 +62,7 @@ def described(vectors: DataFrame, id_col: str, vec_col: str, pivots: Broadcast,
                 perm = ["".join(f"{p:05d}" for p in r) for r in near.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(perm, pa.string()), pa.array([r.tobytes() for r in u], pa.binary())], ["dim", "id", "perm", "unit"])
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, _ROW)
+    return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(lean(run), _ROW)
 
 
 def _known(pivots: Broadcast, d: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def balls(rows_: DataFrame, half: float) -> DataFrame:
                     centre, angle = gather(u)
                     yield pa.RecordBatch.from_arrays([some.column("dim"), pa.array(ids[centre]), some.column("id"), some.column("unit"), pa.array(angle)], ["dim", "ball", "id", "unit", "angle"])
 
-    return rows_.mapInArrow(run, "dim int, ball long, id long, unit binary, angle double")
+    return rows_.mapInArrow(lean(run), "dim int, ball long, id long, unit binary, angle double")
 
 
 def _kinds(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +148,13 @@ def ball_pairs(centres: DataFrame, theta: float, pivots: Broadcast, prefix: int,
                 key = (lo.astype(np.int64) << 32 | hi).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("dim").to_numpy(), len(i)), pa.int32()), pa.array(key), pa.array(np.repeat(some.column("ball").to_numpy(), len(i)))], ["dim", "key", "ball"])
 
-    posted = centres.mapInArrow(lists, "dim int, key long, ball long")
+    posted = centres.mapInArrow(lean(lists), "dim int, key long, ball long")
     sizes = written(posted.groupBy("dim", "key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     # A list of n entries is split into parts of about `block`; entries go to every pair of parts that theirs is in.
     parts = F.ceil(F.col("n") / block).cast("int")
     held = posted.join(sizes, ["dim", "key"]).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("ball"), F.col("parts")).cast("int"))
     sent = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", "key", "ball", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-    full = centres.select("dim", "ball", "unit", "wide").mapInArrow(_halved, "dim int, ball long, unit binary, wide double")
+    full = centres.select("dim", "ball", "unit", "wide").mapInArrow(lean(_halved), "dim int, ball long, unit binary, wide double")
     sent = sent.join(full, ["dim", "ball"])
     sent = sent.select("dim", "key", "x", "y", "p", "ball", "unit", "wide").repartition("dim", "key", "x", "y").sortWithinPartitions("dim", "key", "x", "y")
 
@@ -195,7 +195,7 @@ def ball_pairs(centres: DataFrame, theta: float, pivots: Broadcast, prefix: int,
                 held_.append(batch.slice(s, e - s))
         yield from flush()
 
-    return sent.mapInArrow(run, "dim int, a long, b long, all boolean").distinct()
+    return sent.mapInArrow(lean(run), "dim int, a long, b long, all boolean").distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 1024, prefix: int = 8, shared: int = 2, block: int = 512) -> DataFrame:
@@ -266,4 +266,4 @@ def _members(member: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: f
                 held.append(batch.slice(s, e - s))
         yield from flush()
 
-    return sent.mapInArrow(run, "a long, b long, n long")
+    return sent.mapInArrow(lean(run), "a long, b long, n long")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.sample import labelled
+from lotscope.llm.store import lean
 from lotscope.llm.words import _BASE, _BYTE, _FOLD, MIX, mixed, pieces, prefix
 
 #: A document's shares sum to this in each family of features.
@@ -136,10 +137,11 @@ def score_quality(docs: DataFrame, model: QualityModel, column: str = "quality_s
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(held.value.scores(texts), pa.float64())
 
-        return pd.Series(held.value.scores(pa.array(texts, pa.string(), from_pandas=True)))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scores)(batches)
 
-    return docs.withColumn(column, score("text"))
+    return docs.withColumn(column, F.arrow_udf(score, "double")("text"))

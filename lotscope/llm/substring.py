@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotscope.llm.store import written
+from lotscope.llm.store import lean, written
 from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix, zipped, unzipped
 
 #: Windows that one task compares: about 150 MB with what numpy needs beside them.
@@ -97,7 +97,7 @@ def requests(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if rows:
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "bucket long, blob binary")
 
 
 def _opened(blob: bytes, answers: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -218,7 +218,7 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     buckets = int(max(8, -(-size // 6 // BUCKET)))
     groups = int(max(16, -(-size // (4 << 20)))) | 1
     asked = requests(docs, width, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = written(asked.mapInArrow(_judged(groups), "grp long, bucket long, blob binary"), "answers")
+    answers = written(asked.mapInArrow(lean(_judged(groups)), "grp long, bucket long, blob binary"), "answers")
     added = ["kept", "n_words", "n_removed", "cuts"]
     own = [c for c in docs.columns if c not in added]
     doc = F.struct(*(F.col(f"`{c}`").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in own if c != "text"))
@@ -228,5 +228,5 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     blobs = answers.select("grp", "bucket", "blob", F.lit(None).cast(texts.schema["doc"].dataType).alias("doc"), F.lit(None).cast("binary").alias("body"), F.lit(0).alias("turn"))
     sent = texts.union(blobs).repartition(-(-groups // 4), "grp").sortWithinPartitions("grp", "turn")
     schema = T.StructType([texts.schema["doc"], T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    out = sent.mapInArrow(_cut(width, buckets, schema), schema)
+    out = sent.mapInArrow(lean(_cut(width, buckets, schema)), schema)
     return out.select(*("text" if c == "text" else F.col(f"doc.`{c}`") for c in own), *added)

@@ -11,6 +11,7 @@ trained on, and the score is shifted so that 0.5 stands for the threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.sample import labelled
+from lotscope.llm.store import lean
 from lotscope.llm.words import _BASE, _BYTE, _FOLD, MIX, Piece, mixed, pieces, prefix
 
 # Frequent function words by which a language is guessed.
@@ -222,11 +224,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicit
     """`docs` with the model's score of each whole text in `column`, which replaces one of that name. Null and empty texts get the score of no evidence."""
     held = docs.sparkSession.sparkContext.broadcast((model, language_votes(len(model.table))))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, votes = held.value
-        return pd.Series(model.scores(pa.array(texts, pa.string(), from_pandas=True), votes))
+        for texts in batches:
+            yield pa.array(model.scores(texts, votes), pa.float64())
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scores)(batches)
 
-    return docs.withColumn(column, score("text"))
+    return docs.withColumn(column, F.arrow_udf(score, "double")("text"))

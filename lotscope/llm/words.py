@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotscope.llm.store import lean
+
 PIECE = 1 << 20
 U = np.uint64
 
@@ -157,7 +159,7 @@ def zipped(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "body"])
 
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("body", T.BinaryType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def unzipped(body: pa.Array) -> pa.Array:
