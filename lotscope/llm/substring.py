@@ -23,8 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lotscope.llm.store import lean, written
 from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix, zipped, unzipped
 
-#: Windows that one task compares: about 150 MB with what numpy needs beside them.
-BUCKET = 3_000_000
+#: Windows that one task compares: about 100 MB with what numpy needs beside them.
+BUCKET = 1_500_000
+#: Windows that one task packs at a time.
+UNIT = 700_000
 _ROLL = int(MIX[60])
 _HEAD = np.dtype([("id", "<i8"), ("text", "<i8"), ("n", "<u4")])
 
@@ -91,7 +93,7 @@ def requests(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     if doc is not None and len(first):
                         rows.append((doc, key, own[first]))
                         held += len(first)
-                if held > 2_000_000:
+                if held > UNIT:
                     yield out(rows)
                     rows, held = [], 0
         if rows:
@@ -177,7 +179,7 @@ def _cut(width: int, buckets: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, answer = None, {}
         to = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             grps, bucket, blobs, docs = (batch.column(c) for c in ("grp", "bucket", "blob", "doc"))
             grps, bucket = grps.to_pylist(), bucket.to_pylist()
             ids = docs.field("doc_id").to_pylist()

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lotscope.llm.store import lean
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U = np.uint64
 
 _SPACE = np.zeros(256, bool)
