@@ -25,6 +25,62 @@ def test_article(spark):
     assert text(spark, '<article><p title="open>a</p></article>') == "a"
 
 
+def test_marked_parts(spark):
+    assert text(spark, "<main><h1>Title</h1><p>Body one.</p><article class=card>teaser</article><p>Body two.</p></main>") == "Title Body one. teaser Body two."
+    assert text(spark, "<main><p>x</p><article>The article, which is long</article></main>") == "The article, which is long"
+    assert text(spark, '<p class="share-price">up</p><p class="social">club</p><div class="comments-list">no</div><div id="side sidebar_2">no</div><p>on</p>') == "up club on"
+    assert text(spark, "a <!-- no > no") == "a" and text(spark, "a <b>c</b> d <e f") == "a c d <e f"
+
+
+def test_hostile_pages_take_linear_time(spark):
+    import time
+
+    from lotscope.llm.html import _Page
+
+    million = 1 << 20
+    for page in ("<a " * (million // 3), "x<a '" * (million // 5), "<div>" * (million // 10) + "</x>" * (million // 8), "<!" * (million // 2), "<ul>" * 60_000 + "<hr>" * 60_000, "<b>" * 100_000 + "<p>" * 100_000, "<a ' \"" * (million // 6) + ">", "&" * million):
+        began = time.process_time()
+        _Page(page, frozenset()).result()
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_templates_alone_equal_brute_force(spark):
+    """Pages without any tag or class that tells: only what recurs on a host goes, by counts taken here in plain Python."""
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    rows, blocks, hosts = [], {}, {}
+    for h in range(12):
+        n = r.choice([1, 2, 3, 4, 6, 15, 40])
+        frame = [(r.choice(["div", "section", "p"]), f"frame {h} {j}", r.choice([1.0, 0.9, 0.6, 0.3])) for j in range(8)]
+        for k in range(n):
+            i = len(rows)
+            mine = [(tag, x) for tag, x, p in frame if r.random() < p] + [("p", f"own {i} {j}") for j in range(3)]
+            r.shuffle(mine)
+            blocks[i], hosts[i] = mine, h
+            rows.append((i, f"http://h{h}.com/{k}", "<div>" + "".join(f"<{tag}>{x}</{tag}>" for tag, x in mine) + "</div>"))
+    pages = Counter(hosts.values())
+    seen = Counter((hosts[i], b) for i in blocks for b in set(blocks[i]))
+
+    def low(k, n, z=1.96):
+        p = k / n
+        return (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+    gone = {hb for hb, k in seen.items() if k > 1 and low(k, pages[hb[0]]) > 0.5}
+    want = {i: " ".join(x for t, x in mine if (hosts[i], (t, x)) not in gone) for i, mine in blocks.items()}
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want and gone and sum(len(w) for w in want.values()) < sum(len(x) for m in blocks.values() for _, x in m)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, host string, text string, template string")
+    assert extract(none).count() == 0
+    one = spark.createDataFrame([(1, "http://a/", "<p>x", "h", "t", "m"), (1, "http://a/", "<p>x", "h", "t", "m")], "page_id long, url string, html string, host string, text string, template string")
+    assert [(x.host, x.text) for x in extract(one).collect()] == [("a", "x")] * 2
+
+
 def test_templates_go_by_host(spark):
     rows = [(i, f"http://a.com/{i}", f"<div><p>Own words {i}</p><div>Read more at a</div><p>twice</p></div>") for i in range(20)]
     rows += [(100 + i, f"http://b.com/{i}", f"<div><p>Own words {i}</p><div>Read more at a</div></div>") for i in range(3)]
