@@ -16,6 +16,7 @@ QUANTILES = (0.15, 0.35, 0.50, 0.85)
 LEAST_SIDE, MAX_KS, MAX_RATIO = 93, 0.2, 0.1
 LEAST_SLICE, LEAST_SLICE_POOLED = 150, 58
 LEAST_COMPARABLES = 5
+LEAST_TRIM, BORROWED, NOMINAL = 5, 0.50, 0.70
 
 
 def temporal_split(df: DataFrame, share: float = 0.3, cluster: str = "cluster_id", at: str = "ordinal") -> DataFrame:
@@ -83,6 +84,68 @@ def wilson(df: DataFrame, share: str, n: str, z: float = 1.96) -> DataFrame:
     return df.withColumn("low", F.greatest(F.lit(0.0), (mid - half) / base)).withColumn("high", F.least(F.lit(1.0), (mid + half) / base))
 
 
+def significant_error(df: DataFrame, n: str = "n", quantiles: tuple[float, ...] = QUANTILES, z: float = 2.5) -> DataFrame:
+    """Adds off: the largest coverage error of columns coverage1.. that exceeds z standard errors of a share of n; 0 if none does."""
+    worst = F.lit(0.0)
+    for i, t in enumerate(quantiles):
+        gap = F.abs(F.col(f"coverage{i + 1}") - t)
+        worst = F.greatest(worst, F.when(gap > z * F.sqrt(F.lit(t * (1 - t)) / F.col(n)), gap).otherwise(0.0))
+    return df.withColumn("off", worst)
+
+
+def sliced(df: DataFrame, key: str, predicted: str = "q3", km: str = "mileage_km") -> DataFrame:
+    """Each row once for each slice it is in: its model, its band of the predicted middle (never of the price itself), its band of mileage. All in one pass."""
+    p, m = F.col(predicted), F.col(km)
+    bands = F.array(
+        F.concat(F.lit("model="), F.col(key)),
+        F.when(p < 5e8, "pred<500M").when(p < 1e9, "pred 500M-1B").when(p < 2e9, "pred 1-2B").otherwise("pred>=2B"),
+        F.when(m < 5e4, "km<50k").when(m < 1.5e5, "km 50-150k").when(m < 2.5e5, "km 150-250k").otherwise("km>=250k"),
+    )
+    return df.withColumn("slice", F.explode(bands))
+
+
+def benchmark(predicted: DataFrame, key: str, y: str = "price") -> DataFrame:
+    """(slice, n, pinball, coverage1.., inside, crossing, off) of held-out predictions q1.. as they came: overall and for every slice, coverage after rearrangement, crossing before."""
+    qs = [F.col(f"q{i + 1}") for i in range(len(QUANTILES))]
+    crossed = F.greatest(*((b < a).cast("int") for a, b in zip(qs, qs[1:], strict=False)))
+    rows = predicted.withColumn("crossed", crossed).withColumns(monotone())
+    rows = sliced(rows, key).unionByName(rows.withColumn("slice", F.lit("overall")))
+    out = metrics(rows, ["slice"], y).drop("crossing").join(rows.groupBy("slice").agg(F.avg("crossed").alias("crossing")), "slice")
+    return significant_error(out)
+
+
+def within_split(df: DataFrame, share: float = 0.3, seed: str = "split", id_col: str = "listing_id", car: tuple[str, ...] = ("model_key", "year", "mileage_km", "price")) -> DataFrame:
+    """Adds cluster (the smallest id of the car) and side: cars are rows joined by equal `car` columns or equal ids; of the cars in the order of a seeded hash the first share are the test.
+
+    The cut is found by a count of cars for each of 4,096 buckets of the hash, so no task sorts them all; within the bucket of the cut by rank.
+    """
+    from lotscope.operators.linkage import same_item
+
+    rows = df.withColumn("_row", F.xxhash64(id_col, *car)).withColumn("_car", F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in car)))
+    item = same_item(rows.select("_row", id_col, "_car").distinct(), "_row", [[id_col], ["_car"]])
+    named = rows.join(item.withColumnRenamed("id", "_row"), "_row")
+    cars = named.groupBy("item").agg(F.min(id_col).alias("cluster")).withColumn("h", F.sha2(F.concat(F.lit(seed), "cluster"), 256)).withColumn("b", F.substring("h", 1, 3))
+    counts = cars.groupBy("b").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    upto = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("h"))
+    ranked = cars.join(counts.withColumn("upto", upto).drop("n"), "b").withColumn("side", F.when(F.col("upto") + place <= max(1, round(total * share)), "test").otherwise("train"))
+    return named.join(ranked.select("item", "cluster", "side"), "item").drop("_row", "_car", "item")
+
+
+def held_out_groups(df: DataFrame, group: str, share: float = 0.2, seed: str = "trims") -> DataFrame:
+    """Adds held_out: whole groups, the first share of them (one at least) in the order of a seeded hash."""
+    groups = df.select(group).distinct().withColumn("h", F.sha2(F.concat(F.lit(seed), F.col(group).cast("string")), 256))
+    total = groups.count()
+    out = groups.orderBy("h").limit(max(1, int(total * share))).select(group, F.lit(True).alias("held_out"))
+    return df.join(out, group, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
+def evidence_quality(tier: Column, n: Column, dispersion: Column) -> Column:
+    """high, medium or low: what comparables of this tier, number and spread are worth."""
+    return F.when(tier.isin("model_only", "global") | (n < 8), "low").when((tier == "strict") & (n >= 25) & (dispersion < 0.35), "high").otherwise("medium")
+
+
 def monotone(quantiles: int = len(QUANTILES)) -> dict[str, Column]:
     """Columns q1.. sorted within each row."""
     ordered = F.array_sort(F.array(*(F.col(f"q{i + 1}") for i in range(quantiles))))
@@ -197,6 +260,110 @@ def pooled_offsets(rows: DataFrame, group: str, resid: str) -> DataFrame:
     return per.select(group, "n", "mean", F.coalesce(lam, F.lit(0.0)).alias("lam")).withColumn("offset", F.col("lam") * F.col("mean"))
 
 
+@dataclass
+class PartialPooling:
+    """Log price by ridge on the parent's level, year and mileage, and each trim's offset from that, shrunk by how much trims differ beyond their noise.
+
+    The parent's levels are a group mean, removed before the ridge (as LogLinear). Residual quantiles are those after offsets; a band widens by the part of the offset
+    that wasn't observed. What an estimate borrows stands beside it.
+    """
+
+    parent: str = "make"
+    trim: str = "model_key"
+    base: LogLinear | None = None
+    offsets: DataFrame | None = None
+    t2: float = 0.0
+    residuals: list[float] = field(default_factory=list)
+    noise: float = 1e-12
+
+    def fit(self, train: DataFrame) -> PartialPooling:
+        self.base = LogLinear(self.parent).fit(train)
+        rows = self.base.predict(train.where("price > 0")).withColumn("resid", F.ln("price") - F.col("mu"))
+        self.t2, self.offsets = pooled(rows, self.trim, "resid")
+        after = rows.join(self.offsets, self.trim).select((F.col("resid") - F.col("offset")).alias("r")).agg(F.percentile("r", F.array(*map(F.lit, QUANTILES))).alias("q"), F.var_pop("r").alias("v")).first()
+        self.residuals, self.noise = list(after["q"]), after["v"] or 1e-12
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds q1.. in order, n_trim, shrinkage, offset_raw, offset_applied, extrapolated and why (few or borrowed): never an estimate without its trace."""
+        out = self.base.predict(df).drop(*(f"q{i + 1}" for i in range(len(QUANTILES)))).join(self.offsets.withColumnsRenamed({"n": "n_trim", "mean": "offset_raw", "lam": "shrinkage", "offset": "offset_applied"}), self.trim, "left")
+        out = out.na.fill(0, ["n_trim"]).na.fill(0.0, ["offset_raw", "shrinkage", "offset_applied"])
+        wide = F.sqrt(1 + (1 - F.col("shrinkage")) * (1 - F.col("shrinkage")) * (self.t2 / self.noise))
+        out = out.withColumns({f"q{i + 1}": F.exp(F.col("mu") + F.col("offset_applied") + wide * r) for i, r in enumerate(self.residuals)}).withColumns(monotone())
+        why = F.when(F.col("n_trim") < LEAST_TRIM, "few").when(F.col("shrinkage") < BORROWED, "borrowed")
+        return out.withColumns({"why": why, "extrapolated": why.isNotNull()}).drop("mu")
+
+
+def pooled(rows: DataFrame, group: str, resid: str) -> tuple[float, DataFrame]:
+    """The variance between groups beyond noise, and pooled_offsets written so that it isn't computed again."""
+    per = pooled_offsets(rows, group, resid)
+    found = per.where("lam > 0 and lam < 1").select((F.col("lam") / (1 - F.col("lam")) / F.col("n")).alias("ratio")).first()
+    within = rows.groupBy(group).agg(F.count("*").alias("n"), F.var_samp(resid).alias("v")).agg(F.avg(F.when(F.col("n") > 1, F.col("v")))).first()[0]
+    s2 = within if within is not None else rows.agg(F.var_pop(resid)).first()[0] or 0.0
+    return (found["ratio"] * s2 if found else 0.0), per
+
+
+def pooled_slices(predicted: DataFrame, trim: str = "model_key", y: str = "price") -> DataFrame:
+    """(slice, n, mae, median_ae, coverage, coverage_error, shrinkage, extrapolated, off): well-observed, thin and held-out trims, and each trim with enough rows.
+
+    From PartialPooling.predict and held_out, whether the trim was kept out of fitting. off: the coverage error beyond what chance explains.
+    """
+    kind = F.when(F.col("held_out"), "held-out trim").when(F.col("n_trim") >= LEAST_TRIM, "well-observed trim").when(F.col("n_trim") > 0, "thin trim")
+    rows = predicted.withColumn("slice", F.explode(F.array(kind, F.when(~F.col("held_out"), F.concat(F.lit("trim="), F.col(trim)))))).where("slice is not null")
+    gap = F.abs(F.col("q3") - F.col(y))
+    out = rows.groupBy("slice").agg(
+        F.count("*").alias("n"), F.avg(gap).alias("mae"), F.percentile(gap, F.lit(0.5)).alias("median_ae"), F.avg(((F.col(y) >= F.col("q1")) & (F.col(y) <= F.col("q4"))).cast("int")).alias("coverage"),
+        F.avg("shrinkage").alias("shrinkage"), F.avg(F.col("extrapolated").cast("int")).alias("extrapolated"),
+    )
+    out = out.where(~F.col("slice").startswith("trim=") | (F.col("n") >= LEAST_SLICE_POOLED)).withColumn("coverage_error", F.abs(F.col("coverage") - NOMINAL))
+    return out.withColumn("off", F.greatest(F.lit(0.0), F.col("coverage_error") - 2.5 * F.sqrt(F.lit(NOMINAL * (1 - NOMINAL)) / F.col("n"))))
+
+
+def four_slices(slices: DataFrame) -> list[dict]:
+    """The three kinds of trims that were measured, and the single trim with the worst coverage among those with enough rows."""
+    kinds = slices.where(~F.col("slice").startswith("trim="))
+    worst = slices.where(F.col("slice").startswith("trim=")).orderBy(F.desc("coverage_error"), "slice").limit(1).withColumn("slice", F.concat(F.lit("worst "), F.col("slice")))
+    return [r.asDict() for r in kinds.union(worst).collect()]
+
+
+@dataclass(frozen=True)
+class PooledGate:
+    """What a pooled estimator must reach; a fault that was measured outranks a question that the data can't answer."""
+
+    coverage: float = 0.15
+    worst: float = 0.25
+    mae: float = 1.10
+
+    def reasons(self, slices: list[dict], model_mae: float, baseline_mae: float, population_weighted: bool = False) -> list[tuple[str, str, str]]:
+        """(kind, subject, reason), kind failed or unanswered."""
+        out = []
+        if model_mae > baseline_mae * self.mae:
+            out.append(("failed", "mae", f"error {model_mae:.0f} against the baseline's {baseline_mae:.0f}"))
+        sure = [s for s in slices if s["n"] >= LEAST_SLICE_POOLED]
+        out += [("failed", s["slice"], f"coverage {s['coverage']:.2f} of {s['n']} rows") for s in sure if s["off"] > self.coverage]
+        if any(s["off"] > self.worst for s in sure):
+            out.append(("failed", "worst slice", f"off by {max(s['off'] for s in sure):.2f}"))
+        by = {s["slice"]: s["n"] for s in slices}
+        out += [("unanswered", k, f"{by.get(k, 0)} rows, {LEAST_SLICE_POOLED} are needed") for k in ("thin trim", "held-out trim") if by.get(k, 0) < LEAST_SLICE_POOLED]
+        if population_weighted:
+            out.append(("failed", "weights", "no weight may be drawn from the sample's own shape"))
+        return out
+
+    def verdict(self, *args, **kwargs) -> tuple[str, list[tuple[str, str, str]]]:
+        why = self.reasons(*args, **kwargs)
+        failed = [x for x in why if x[0] == "failed"]
+        return ("REJECTED" if failed else "UNJUDGEABLE_SLICE" if why else "ACCEPTED"), why
+
+
+def synthetic_corpus(spark, rows: int, seed: int = 0) -> DataFrame:
+    """A corpus with known structure: log-normal prices around a model's level, falling with age and mileage, beta-like risk. The same seed gives the same rows in any number of partitions of one count."""
+    df = spark.range(rows, numPartitions=8).withColumns({"u": F.rand(seed), "z": F.randn(seed + 1), "k": F.rand(seed + 2), "r": F.rand(seed + 3) * F.rand(seed + 4), "a": F.rand(seed + 5)})
+    model = F.floor(F.col("u") * 8)
+    age, km = F.floor(F.col("a") * 15), F.floor(F.col("k") * 300_000)
+    price = F.floor(F.exp(F.lit(20.2) + 0.15 * model - 0.06 * age - km / 8e5 + 0.18 * F.col("z")))
+    return df.select(F.col("id").cast("string").alias("listing_id"), F.concat(F.lit("make"), (model % 3).cast("string")).alias("make"), F.concat(F.lit("make"), (model % 3).cast("string"), F.lit("|m"), model.cast("string")).alias("model_key"), (F.lit(1405) - age).cast("int").alias("year"), km.cast("long").alias("mileage_km"), price.cast("long").alias("price"), F.col("r").alias("risk"))
+
+
 @dataclass(frozen=True)
 class Gate:
     """What an estimator must reach before it may answer."""

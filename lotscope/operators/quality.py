@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Policy (fixed values).
 MAX_KM, SUSPICIOUS_KM, LEAST_KM_A_YEAR, MIN_AGE = 1_500_000, 900_000, 1_500, 3
 LEAST_PRICE = 10_000_000
+USABLE_PRICES = ("display_confirmed", "structured_only", "displayed_only", "label_corrected")
 FAR, FAR_LEAST = 5, 3
 CONDITION_SEVERITY = ["intact", "minor_paint", "multi_paint", "replaced_part", "accident"]
 CONDITION_RISK = {"intact": 0.05, "minor_paint": 0.20, "unknown": 0.35, "multi_paint": 0.50, "replaced_part": 0.65, "accident": 0.85}
@@ -76,6 +77,40 @@ def reconcile_price(text: Column, data: Column) -> Column:
     )
 
 
+def reconcile_odometer(structured: Column, shown: Column, rounding: int = 1_000, share: float = 0.02) -> tuple[Column, Column]:
+    """(km, code) from two readings of one odometer: within rounding or a share of what is shown they agree; a structured one in thousands gives way to what is shown; else there is none."""
+    room = F.greatest(F.lit(float(rounding)), shown * share)
+    agree, thousands = F.abs(structured - shown) <= room, (structured > 0) & (F.abs(structured * 1000 - shown) <= room)
+    code = F.when(structured.isNull() & shown.isNull(), "none").when(shown.isNull(), "structured_only").when(structured.isNull(), "shown_only").when(agree, "agree").when(thousands, "in_thousands").otherwise("disagree")
+    km = F.when(code.isin("structured_only", "agree"), structured).when(code.isin("shown_only", "in_thousands"), shown)
+    return km, code
+
+
+def priced(price: Column, status: Column, kind: Column) -> Column:
+    """The asking price that may be shown as one: above zero, of a usable status or none, cash or of no stated kind; else null."""
+    usable = status.isNull() | status.isin("ok", *USABLE_PRICES)
+    return F.when((price > 0) & usable & (kind.isNull() | (kind == "cash")), price)
+
+
+#: Surfaces a field may appear on (fixed values); a field that isn't here may appear nowhere.
+FIELDS = {
+    "listing_id": (), "source_url": ("card", "detail"), "make": ("card", "detail"), "model": ("card", "detail", "facet"), "trim": ("card", "detail", "facet"), "year_jalali": ("card", "detail", "facet"), "color": ("detail", "facet"),
+    "asking_price_toman": ("card", "detail", "facet"), "price_status": ("card", "detail"), "price_kind": ("card", "detail"), "price_kind_source": ("detail",), "price_currency_raw": (), "mileage_km": ("card", "detail", "facet"), "mileage_status": ("card", "detail"),
+    "mileage_line_canonical": ("detail",), "condition": ("detail", "facet"), "condition_source": ("detail",), "product_class": ("card", "detail", "gate"), "product_class_source": ("detail",), "dealer_badge": (), "document_issue": (), "seller_type": (),
+    "province": ("card", "detail", "facet"), "province_source": ("card", "detail"), "gearbox": ("facet",), "fuel": (), "model_key": ("card", "detail"), "derived_title": ("card", "detail"), "observed_at": ("card", "detail"), "listing_age": ("card", "detail"), "image": (),
+}
+
+
+def may(field: str, surface: str) -> bool:
+    """Whether a field may appear on a surface: card, detail, gate or facet."""
+    return surface in FIELDS.get(field, ())
+
+
+def shown_on(df: DataFrame, surface: str) -> DataFrame:
+    """The columns of df that may appear on a surface."""
+    return df.select(*(c for c in df.columns if may(c, surface)))
+
+
 def worse_condition(a: Column, b: Column) -> Column:
     """The more severe of two labels; a known one beats an unknown one."""
     rank = F.array(F.lit("unknown"), *map(F.lit, CONDITION_SEVERITY))

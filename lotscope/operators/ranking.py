@@ -15,9 +15,9 @@ ENOUGH = 3
 
 @dataclass(frozen=True)
 class Weights:
-    value: float = 0.40
+    value: float = 0.35
     risk: float = 0.25
-    running_cost: float = 0.10
+    running_cost: float = 0.15
     liquidity: float = 0.10
     mileage: float = 0.10
     recency: float = 0.05
@@ -130,7 +130,8 @@ def score(df: DataFrame, x: Intent, query: str = "query") -> DataFrame:
     ends = df.groupBy(query).agg(*(f(c).alias(f"{n}_{c}") for c, _ in terms for n, f in (("lo", F.min), ("hi", F.max))))
     both = df.join(ends.withColumnRenamed(query, "_q"), F.col(query).eqNullSafe(F.col("_q")))
     norm = lambda c: F.when(F.col(f"hi_{c}") - F.col(f"lo_{c}") < 1e-9, 0.5).otherwise((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0)))
-    total = sum((norm(c) * v for c, v in terms), F.lit(0.0))
+    both = both.withColumns({f"n_{c}": norm(c) for c, _ in terms})
+    total = sum((F.col(f"n_{c}") * v for c, v in terms), F.lit(0.0))
     return both.withColumn("score", total).drop("_q", *(f"{n}_{c}" for c, _ in terms for n in ("lo", "hi")))
 
 
@@ -165,3 +166,36 @@ def ledger(df: DataFrame, fields: list[str], imputed: Column) -> DataFrame:
     missing = F.filter(F.array(*(F.when(F.col(f).isNull(), f) for f in fields)), lambda x: x.isNotNull())
     out = df.withColumn("missing", F.array_join(missing, ",")).withColumn("imputed", imputed)
     return out.withColumn("completeness", (len(fields) - F.size(missing) - F.when(F.col("imputed"), 1).otherwise(0)) / len(fields))
+
+
+def features(df: DataFrame) -> DataFrame:
+    """Adds what a listing supplies to a score, from condition and document_issue: risk (filled in and named in `imputed` where the condition is unknown), has_accident, has_unclear_documents. What nothing supports stays null."""
+    from lotscope.operators.quality import condition_risk
+
+    known = F.col("condition").isNotNull()
+    return df.withColumns({
+        "risk": F.when(known, condition_risk(F.col("condition"))), "has_accident": F.when(known, F.when(F.col("condition") == "accident", 1.0).otherwise(0.0)), "has_unclear_documents": F.when(F.col("document_issue"), 1.0),
+        "imputed": F.when(F.col("condition") == "unknown", F.array(F.lit("risk"))).otherwise(F.array().cast("array<string>")),
+    })
+
+
+def decision_ledger(df: DataFrame, x: Intent) -> DataFrame:
+    """Adds, for each candidate, which of the eight inputs of a decision are there: hard_filter_pass, price_delta_to_estimate, missing, imputed_labels and completeness.
+
+    From features, ownership_risk, liquidity, first_seen_ordinal and middle, the estimate's median; null where no accepted estimator serves one.
+    """
+    delta = F.col("middle") - F.col("price")
+    lacks = [
+        ("price_delta_to_estimate", delta.isNull()), ("risk_score", F.col("risk").isNull()), ("running_cost_signals", F.col("ownership_risk").isNull()), ("reliability_signals", F.col("liquidity").isNull()), ("recency", F.coalesce(F.col("first_seen_ordinal"), F.lit(0)) == 0),
+    ]
+    missing = F.filter(F.array(*(F.when(no, label) for label, no in lacks)), lambda v: v.isNotNull())
+    labels = F.when(F.array_contains("imputed", "risk"), F.array(F.lit("risk_score"))).otherwise(F.array().cast("array<string>"))
+    out = df.withColumns({"hard_filter_pass": passes(x), "price_delta_to_estimate": delta, "missing": missing, "imputed_labels": labels})
+    return out.withColumn("completeness", (8 - F.size("missing") - F.size("imputed_labels")) / 8)
+
+
+def reweighted(terms: DataFrame, weights: Weights, id_col: str = "listing_id") -> DataFrame:
+    """(id, score): scores of candidates whose scaled terms are kept (n_opportunity, n_risk, n_owning, n_liquidity, n_mileage_km, n_recency), under other weights, without ranking anew."""
+    w = weights.normalized()
+    signed = {"n_opportunity": w.value, "n_risk": -w.risk, "n_owning": -w.running_cost, "n_liquidity": w.liquidity, "n_mileage_km": -w.mileage, "n_recency": w.recency}
+    return terms.select(id_col, sum((F.col(c) * v for c, v in signed.items()), F.lit(0.0)).alias("score"))

@@ -110,14 +110,8 @@ def _comparables(df):
     return rounded(rounded(out, "dispersion"), "q1", "q2", "q3", "q4", digits=2)
 
 
-@query(f"{PRICED}, halved as (select *, case when cluster_id % 5 = 0 then 'test' else 'train' end as side from priced where make in ('Brand#11', 'Brand#12')), {_tiers()}")
+@query(f"{PRICED}, {HALVES}, {_tiers()}")
 def estimator_comparables(spark, d):
-    """Two makes, as in the SQL; estimator_comparables_whole has all."""
-    return _comparables(halves(spark, d).where("make in ('Brand#11', 'Brand#12')"))
-
-
-@query()
-def estimator_comparables_whole(spark, d):
     return _comparables(halves(spark, d))
 
 
@@ -161,7 +155,9 @@ def estimator_gate(spark, d):
     df = global_quantiles(spark, d)
     overall = estimators.metrics(df.withColumn("slice", F.lit("all")), ["slice"]).first().asDict()
     slices = [r.asDict() for r in estimators.metrics(df.withColumn("slice", F.col("make")), ["slice"]).collect()]
-    verdict, why = estimators.Gate().verdict(overall, slices, overall["pinball"] * 1.01)
+    base = estimators.parent_median_baseline(df, halves(spark, d).where("side = 'train'"), "model_key")
+    base = base.withColumns({f"q{i + 1}": F.col("baseline") for i in range(4)}).withColumn("slice", F.lit("all"))
+    verdict, why = estimators.Gate().verdict(overall, slices, estimators.metrics(base, ["slice"]).first()["pinball"])
     return spark.createDataFrame([(verdict, w) for w in why] or [(verdict, None)], "verdict string, reason string")
 
 
@@ -187,8 +183,8 @@ def ranking_constraints(spark, d):
     return ranking.evidence(listings(spark, d), ASK).select("listing_id", F.array_join("unknown", ",").alias("unknown"), "shelf")
 
 
-NARROW = ranking.Intent(budget_max=100_000_000, year_min=2000, max_km=24_000, breakers=("accident",), soft=True)
-_RUNGS = [(100_000_000, 24_000, 2000), (110_000_000, 24_000, 2000), (110_000_000, 31_200, 2000), (110_000_000, 31_200, 1999), (121_000_000, 31_200, 1999)]
+NARROW = ranking.Intent(budget_max=130_000_000, year_min=2000, max_km=24_000, breakers=("accident",), soft=True)
+_RUNGS = [(130_000_000, 24_000, 2000), (143_000_000, 24_000, 2000), (143_000_000, 31_200, 2000), (143_000_000, 31_200, 1999), (157_300_000, 31_200, 1999)]
 
 
 @query(f"{ROWS}, r as (select listing_id, case " + " ".join(f"when price <= {b} and mileage_km <= {k} and year >= {y} and condition <> 'accident' then {i}" for i, (b, k, y) in enumerate(_RUNGS)) + " end as rung from listings), c as (select i, (select count(*) from r where rung <= i) as n from range(5) t(i)) select listing_id, rung from r where rung <= (select coalesce(min(i) filter (where n >= 3), 4) from c)")
@@ -196,11 +192,8 @@ def ranking_ladder(spark, d):
     return ranking.retrieve(listings(spark, d), NARROW)[0].select("listing_id", "rung")
 
 
-def candidates(spark, d, since: int | None = 2000):
-    """Listings to rank; `since` keeps those of that year or later, as in the SQL of queries that aren't `whole`."""
+def candidates(spark, d):
     df = listings(spark, d).where("price is not null and model is not null")
-    if since is not None:
-        df = df.where(F.col("year") >= since)
     from lotscope.operators.quality import condition_risk
 
     middle = df.groupBy("make").agg(F.percentile("price", F.lit(0.35)).alias("conservative"))
@@ -209,28 +202,18 @@ def candidates(spark, d, since: int | None = 2000):
 
 
 RISK = "case condition when 'intact' then 0.05 when 'minor_paint' then 0.2 when 'multi_paint' then 0.5 when 'replaced_part' then 0.65 when 'accident' then 0.85 else 0.35 end::double"
-_T = [("opportunity", 0.4), ("risk", -0.25), ("owning", -0.1), ("liquidity", 0.1), ("mileage_km", -0.1), ("recency", 0.05)]
-SCORED = f"""cand as (select *, {RISK} as risk, (seller % 7) / 10 as owning, (seller % 5) / 10 as liquidity, date_diff('day', date '2000-01-01', seen_on) as recency, make as query, quantile_cont(cast(price as double), 0.35) over (partition by make) as conservative from listings where price is not null and model is not null and year >= 2000),
+_T = [("opportunity", 0.35), ("risk", -0.25), ("owning", -0.15), ("liquidity", 0.1), ("mileage_km", -0.1), ("recency", 0.05)]
+SCORED = f"""cand as (select *, {RISK} as risk, (seller % 7) / 10 as owning, (seller % 5) / 10 as liquidity, date_diff('day', date '2000-01-01', seen_on) as recency, make as query, quantile_cont(cast(price as double), 0.35) over (partition by make) as conservative from listings where price is not null and model is not null),
 o as (select *, risk * conservative * 0.6 as damage, conservative - price - risk * conservative * 0.6 as opportunity from cand),
 e as (select query as q, {', '.join(f'min({c}) as lo_{c}, max({c}) as hi_{c}' for c, _ in _T)} from o group by query),
 scored as (select o.*, {' + '.join(f'({w}) * case when hi_{c} - lo_{c} < 1e-9 then 0.5 else ({c} - lo_{c}) / (hi_{c} - lo_{c}) end' for c, w in _T)} as score from o join e on query = q)"""
 
-#: Listings of all years.
-SCORED_WHOLE = SCORED.replace(" and year >= 2000", "")
-
-
 @query(f"{ROWS}, {SCORED} select listing_id, round(damage, 2) as damage, round(opportunity, 2) as opportunity, round(score, 6) as score from scored")
 def ranking_score(spark, d):
     out = ranking.score(candidates(spark, d), ranking.Intent()).select("listing_id", "damage", "opportunity", "score")
     return rounded(rounded(out, "damage", "opportunity", digits=2), "score")
 
 
-@query(f"{ROWS}, {SCORED_WHOLE} select listing_id, round(damage, 2) as damage, round(opportunity, 2) as opportunity, round(score, 6) as score from scored")
-def ranking_score_whole(spark, d):
-    out = ranking.score(candidates(spark, d, None), ranking.Intent()).select("listing_id", "damage", "opportunity", "score")
-    return rounded(rounded(out, "damage", "opportunity", digits=2), "score")
-
-
 @query(f"""{ROWS}, {SCORED}, r as (select *, quantile_cont(cast(price as double), 0.25) over (partition by query) as p25, row_number() over (partition by query order by round(score, 9) desc, listing_id) as place from scored),
 a as (select *, place = 1 as p1 from r), b as (select *, min(case when not p1 and risk <= 0.15 then place end) over (partition by query) as safe from a),
 c as (select *, min(case when not p1 and place is distinct from safe and opportunity > 0 then place end) over (partition by query) as bargain from b),
@@ -242,17 +225,6 @@ def ranking_diversify(spark, d):
     return rounded(ranking.diversify(scored), "score")
 
 
-@query(f"""{ROWS}, {SCORED_WHOLE}, r as (select *, quantile_cont(cast(price as double), 0.25) over (partition by query) as p25, row_number() over (partition by query order by round(score, 9) desc, listing_id) as place from scored),
-a as (select *, place = 1 as p1 from r), b as (select *, min(case when not p1 and risk <= 0.15 then place end) over (partition by query) as safe from a),
-c as (select *, min(case when not p1 and place is distinct from safe and opportunity > 0 then place end) over (partition by query) as bargain from b),
-e2 as (select *, min(case when not p1 and place is distinct from safe and place is distinct from bargain and price <= p25 then place end) over (partition by query) as cheap from c),
-f as (select *, case when p1 then 0 when place = safe then 1 when place = bargain then 2 when place = cheap then 3 else 4 end as role from e2), g as (select *, row_number() over (partition by query order by role, place) as pick from f)
-select query, pick, listing_id, round(score, 6) as score, (['best overall', 'safest', 'best value', 'cheapest acceptable', 'alternative'])[role + 1] as role from g where pick <= 5""")
-def ranking_diversify_whole(spark, d):
-    scored = ranking.score(candidates(spark, d, None), ranking.Intent()).withColumn("score", F.round("score", 9))
-    return rounded(ranking.diversify(scored), "score")
-
-
 @query(f"{ROWS} select listing_id, array_to_string(list_filter([case when model is null then 'model' end, case when price is null then 'price' end], lambda x: x is not null), ',') as missing, condition = 'unknown' as imputed, round((4 - case when model is null then 1 else 0 end - case when price is null then 1 else 0 end - case when condition = 'unknown' then 1 else 0 end) / 4, 6) as completeness from listings")
 def ranking_ledger(spark, d):
     out = ranking.ledger(listings(spark, d), ["make", "model", "price", "mileage_km"], F.col("condition") == "unknown")
@@ -271,18 +243,6 @@ def ranking_win_rate(spark, d):
     return rounded(out.withColumn("wins", F.col("ranked") >= F.col("cheapest")), "ranked", "cheapest", digits=2)
 
 
-@query(f"""{ROWS}, {SCORED_WHOLE}, u as (select *, row_number() over (partition by query order by round(score, 9) desc, listing_id) as a, row_number() over (partition by query order by price, listing_id) as b from scored),
-m as (select query, avg(case when a <= 3 then opportunity end) as ranked, avg(case when b <= 3 then opportunity end) as cheapest from u group by query) select query, round(ranked, 2) as ranked, round(cheapest, 2) as cheapest, ranked >= cheapest as wins from m""")
-def ranking_win_rate_whole(spark, d):
-    from pyspark.sql import Window
-
-    scored = ranking.score(candidates(spark, d, None), ranking.Intent()).withColumn("score", F.round("score", 9))
-    a = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "listing_id"))
-    b = F.row_number().over(Window.partitionBy("query").orderBy("price", "listing_id"))
-    out = scored.withColumns({"a": a, "b": b}).groupBy("query").agg(F.avg(F.when(F.col("a") <= 3, F.col("opportunity"))).alias("ranked"), F.avg(F.when(F.col("b") <= 3, F.col("opportunity"))).alias("cheapest"))
-    return rounded(out.withColumn("wins", F.col("ranked") >= F.col("cheapest")), "ranked", "cheapest", digits=2)
-
-
 # review
 
 
@@ -306,15 +266,57 @@ def review_confidence(spark, d):
     return rounded(review.confidence(profiles(spark, d)).select("item", "confidence", "status", "weakest"), "confidence")
 
 
-def rules():
-    return [("often_gone", "high", F.col("absent_days") >= 8), ("seldom_seen", "medium", F.col("present_days") < 15), ("odd_price", "low", F.col("anomaly") > 0.4)]
+def cases(spark, d):
+    """Held-out listings with what a review looks at; what was seen of each is made from its item's number."""
+    df = halves(spark, d)
+    c = F.col("cluster_id")
+    train = df.where("side = 'train'")
+    return review.market_range(df.where("side = 'test'"), train, "model_key").withColumns({
+        "tier": F.element_at(F.array(*map(F.lit, review.TIER_CEILING)), (c % 11 % 5 + 1).cast("int")), "n": c % 43, "dispersion": (c % 10) / 10, "unknown_days": c % 4, "reposts": c % 3, "served": c % 13 != 0,
+        "present_days": c % 8, "span": c % 30, "weak_link": c % 6 == 2, "tracked": c % 9 != 1, "q1": F.col("price") * 0.9, "q4": F.col("price") * (1.2 + (c % 5) / 10),
+    })
+
 
+_FOUND = {
+    "risk": [("weak_comparable_tier", "'high'", "downgrade", False, "tier in ('model_only', 'global')"), ("relaxed_year", "'medium'", "downgrade", False, "tier = 'relaxed_year'"), ("sparse_comparables", "'high'", "downgrade", False, "n < 8"), ("high_dispersion", "'medium'", "downgrade", False, "dispersion > 0.55"), ("observation_gap", "case when unknown_days > 2 then 'medium' else 'low' end", "downgrade", False, "unknown_days > 0"), ("reposted", "'low'", "approve", False, "reposts > 0"), ("estimator_not_accepted", "'high'", "reject", True, "not served")],
+    "adversarial": [("estimate_dominated_by_few", "'high'", "downgrade", False, "served and n between 1 and 11"), ("outside_observed_distribution", "'high'", "reject", True, "served and n_market >= 10 and (price < p01 or price > p99)"), ("interval_too_wide", "'medium'", "downgrade", False, "served and (q4 - q1) / q1 > 0.6"), ("repost_link_uncertain", "'medium'", "downgrade", False, "served and tracked and reposts > 0 and weak_link"), ("never_confirmed_present", "'high'", "reject", True, "served and tracked and present_days = 0")],
+}
+_STRUCTS = {k: "list_filter([" + ", ".join(f"case when {ok} then {{'code': '{code}', 'severity': {sev}, 'action': '{act}', 'hard': {str(hard).lower()}}} end" for code, sev, act, hard, ok in v) + "], lambda x: x is not null)" for k, v in _FOUND.items()}
+CASES = f"""{PRICED}, {HALVES}, mk as (select model_key, count(*) as n_market, quantile_cont(cast(price as double), 0.01) as p01, quantile_cont(cast(price as double), 0.99) as p99 from halved where side = 'train' group by 1),
+cases as (select h.listing_id as listing_id, price, coalesce(n_market, 0) as n_market, p01, p99, (['strict', 'relaxed_mileage', 'relaxed_year', 'model_only', 'global'])[cluster_id % 11 % 5 + 1] as tier, cluster_id % 43 as n, (cluster_id % 10) / 10 as dispersion, cluster_id % 4 as unknown_days, cluster_id % 3 as reposts, cluster_id % 13 <> 0 as served,
+cluster_id % 8 as present_days, cluster_id % 30 as span, cluster_id % 6 = 2 as weak_link, cluster_id % 9 <> 1 as tracked, price * 0.9 as q1, price * (1.2 + (cluster_id % 5) / 10) as q4 from halved h left join mk on h.model_key = mk.model_key where side = 'test'),
+found as (select *, {_STRUCTS['risk']} as risk, {_STRUCTS['adversarial']} as adversarial from cases)"""
 
-@query(f"""{PROFILE}, f as (select *, case when absent_days >= 8 then 1 else 0 end as high, case when present_days < 15 then 1 else 0 end as medium, list_filter([case when absent_days >= 8 then 'often_gone' end, case when present_days < 15 then 'seldom_seen' end, case when anomaly > 0.4 then 'odd_price' end], lambda x: x is not null) as codes from s)
-select item, array_to_string(codes, ',') as codes, (['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'])[least(4, list_position(['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'], status) + case when high > 0 then high when medium > 0 then 1 else 0 end)] as decision from f""")
-def review_judge(spark, d):
-    df = review.confidence(profiles(spark, d)).withColumn("findings", review.findings(rules()))
-    return review.judged(df).select("item", F.array_join(F.col("findings.code"), ",").alias("codes"), "decision")
+
+@query(f"{CASES} select listing_id, array_to_string(list_transform(risk, lambda x: x.code || '/' || x.severity), ',') as found from found")
+def review_risk(spark, d):
+    return cases(spark, d).withColumn("f", review.findings(review.risk_rules())).select("listing_id", F.array_join(F.transform("f", lambda x: F.concat_ws("/", x["code"], x["severity"])), ",").alias("found"))
+
+
+@query(f"{CASES} select listing_id, array_to_string(list_transform(adversarial, lambda x: x.code || '/' || x.severity), ',') as found from found")
+def review_adversarial(spark, d):
+    return cases(spark, d).withColumn("f", review.findings(review.challenges())).select("listing_id", F.array_join(F.transform("f", lambda x: F.concat_ws("/", x["code"], x["severity"])), ",").alias("found"))
+
+
+_SEVERITY = "list_transform(list_concat(risk, adversarial), lambda x: case x.severity when 'high' then 0.5 when 'medium' then 0.25 else 0.1 end::double)"
+
+
+@query(f"""{CASES}, p as (select *, list_concat(risk, adversarial) as f, case when present_days >= 5 then 1.0 when present_days >= 3 then 0.65 when present_days >= 1 then 0.35 else 0.0 end::double as evidence,
+case when span <= 0 then 0.0 when 1 - unknown_days / (span + 1) >= 0.9 then 1.0 when 1 - unknown_days / (span + 1) >= 0.7 then 0.6 when 1 - unknown_days / (span + 1) >= 0.5 then 0.3 else 0.1 end::double as temporal,
+case tier when 'strict' then 1.0 when 'relaxed_mileage' then 0.7 when 'relaxed_year' then 0.45 when 'model_only' then 0.2 else 0.0 end::double * case when n > 0 then 0.35 + 0.65 * least(1.0, n / 30) else 0 end * case when dispersion > 0.4 then 0.75 else 1 end as comparable, least(1.0, coalesce(list_sum({_SEVERITY}), 0)) as anomaly, case when served then 1.0 else 0.4 end::double as dq, case when served then 1.0 else 0.0 end::double as cal from found),
+c as (select *, 0.25 * comparable + 0.2 * evidence + 0.2 * cal + 0.2 * dq + 0.15 * temporal - 0.3 * anomaly as confidence from p), s as (select *, case when least(evidence, comparable, dq) < 0.2 then 4 when confidence >= 0.68 then 1 when confidence >= 0.42 then 2 else 3 end as was,
+list_transform(list_filter(f, lambda x: x.hard), lambda x: x.code) as hard, list_transform(list_filter(f, lambda x: x.action = 'downgrade' and x.severity = 'high'), lambda x: x.code) as high, list_transform(list_filter(f, lambda x: x.action = 'downgrade' and x.severity = 'medium'), lambda x: x.code)[1:1] as medium from c),
+t as (select *, least(4, was + len(high)) as low from s), u as (select *, case when len(hard) > 0 or not served then 4 when low <> was then low else least(4, was + len(medium)) end as now from t)
+select listing_id, round(confidence, 6) as confidence, (['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'])[was] as status_before, (['HIGH', 'MEDIUM', 'LOW', 'INSUFFICIENT_EVIDENCE'])[now] as status, case when len(hard) > 0 then 'reject' when not served or now = 4 then 'insufficient_evidence' when now = was then 'approve' else 'downgrade' end as decision,
+array_to_string(case when len(hard) > 0 then hard when low <> was then high else list_concat(high, medium) end, ',') as reasons from u""")
+def review_verdict(spark, d):
+    return rounded(review.reviewed(cases(spark, d)).select("listing_id", "confidence", "status_before", "status", "decision", F.array_join("reasons", ",").alias("reasons")), "confidence")
+
+
+@query(f"{CASES} select listing_id, case tier when 'strict' then n || ' آگهی مشابه (مدل، سال و کارکرد نزدیک)' when 'relaxed_mileage' then n || ' آگهی با همین مدل و سال (کارکرد متفاوت)' when 'relaxed_year' then n || ' آگهی با همین مدل (سال متفاوت)' when 'model_only' then n || ' آگهی از همین مدل — مشابه نیستند' else 'داده‌ی کافی برای این مدل نداریم' end as comparables, case when tracked then span || ' روز است که در بازار است' else 'از شروع رصد ما حداقل ' || span || ' روز در بازار بوده' end as age from cases")
+def review_claims(spark, d):
+    df = cases(spark, d)
+    return df.select("listing_id", review.claim_of_comparables(F.col("tier"), F.col("n")).alias("comparables"), review.claim_of_age(F.col("span"), F.col("tracked")).alias("age"))
 
 
 @query("""with c as (select o_orderkey as claim_id, case when o_orderkey % 7 = 0 then [] else [o_orderkey, o_orderkey + 1] end as ids from orders), x as (select claim_id, unnest(ids) as missing from c union all select claim_id, null from c where len(ids) = 0)

@@ -247,26 +247,15 @@ def offers(spark, d):
 
 REPOST = """offers as (select *, ['p' || (cluster_id % 97), 'q' || (cluster_id % 11)] as photos, condition as color, 'r' || (seller % 4) as province from listings where model is not null),
 pairs as (select a.listing_id as old_id, b.listing_id as new_id, a.trim = b.trim as t, a.color = b.color as c, a.province = b.province as pr, a.seller = b.seller as s, a.mileage_km as ka, b.mileage_km as kb, a.price as pa, b.price as pb, len(list_intersect(a.photos, b.photos)) / len(list_distinct(list_concat(a.photos, b.photos))) as img
-  from offers a join offers b on a.make = b.make and a.model = b.model and a.year = b.year and date_diff('day', a.seen_on, b.seen_on) between 1 and 14 and a.listing_id <> b.listing_id where a.trim = b.trim),
+  from offers a join offers b on a.make = b.make and a.model = b.model and a.year = b.year and date_diff('day', a.seen_on, b.seen_on) between 1 and 14 and a.listing_id <> b.listing_id),
 scored as (select old_id, new_id, case when kb < ka * 0.95 then 0 else greatest(0, least(1, 0.45 * img + case when s then 0.35 else 0 end + case when kb <= ka * 1.10 then 0.15 else 0 end + case when t then 0.05 else 0 end + case when c then 0.05 else 0 end - case when not pr then 0.15 else 0 end
   + case when pb / pa between 0.8 and 1.1 then 0.1 when pb / pa < 0.55 or pb / pa > 1.45 then -0.1 else 0 end)) end as score from pairs)"""
 
 
-#: Pairs of any trim; REPOST has those of equal trim only.
-REPOST_WHOLE = REPOST.replace(" where a.trim = b.trim", "")
-
-
-@query(f"{ROWS}, {REPOST_WHOLE} select old_id, new_id, round(score, 6) as score from scored")
-def linkage_repost_score_whole(spark, d):
-    df = offers(spark, d)
-    return rounded(linkage.repost_candidates(df, df), "score")
-
-
 @query(f"{ROWS}, {REPOST} select old_id, new_id, round(score, 6) as score from scored")
 def linkage_repost_score(spark, d):
-    """Equal trims only, as in the SQL; linkage_repost_score_whole has all pairs."""
     df = offers(spark, d)
-    return rounded(linkage.repost_candidates(df, df, same=("trim",)), "score")
+    return rounded(linkage.repost_candidates(df, df), "score")
 
 
 @query(f"{ROWS}, {REPOST}, r as (select *, row_number() over w as nth, lead(score) over w as next from (select old_id, new_id, round(score, 6) as score from scored) window w as (partition by new_id order by score desc, old_id)) select new_id, old_id, score, case when score < 0.25 then 'none' when next is null or round(score - next, 9) >= 0.1 then 'match' else 'ambiguous' end as verdict from r where nth = 1")
@@ -274,24 +263,9 @@ def linkage_repost_top1(spark, d):
     return linkage.best_match(linkage_repost_score(spark, d), "new_id", "old_id", least=0.25)
 
 
-@query(f"{ROWS}, {REPOST_WHOLE}, r as (select *, row_number() over w as nth, lead(score) over w as next from (select old_id, new_id, round(score, 6) as score from scored) window w as (partition by new_id order by score desc, old_id)) select new_id, old_id, score, case when score < 0.25 then 'none' when next is null or round(score - next, 9) >= 0.1 then 'match' else 'ambiguous' end as verdict from r where nth = 1")
-def linkage_repost_top1_whole(spark, d):
-    return linkage.best_match(linkage_repost_score_whole(spark, d), "new_id", "old_id", least=0.25)
-
-
-@query("""with b as (select item_id, lower(substr(text, 1, 200)) as t from benchmark), g as (select item_id, list_distinct([substr(t, i, 4) for i in range(1, length(t) - 2)]) as s from b where length(t) >= 4)
-select x.item_id as a, y.item_id as b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) as j from g x join g y on x.item_id < y.item_id and x.item_id + 3 >= y.item_id""")
-def linkage_shingle_jaccard(spark, d):
-    """The first 200 characters of items close by id, as in the SQL; linkage_shingle_jaccard_whole has whole texts and all pairs that share a shingle."""
-    df = table(spark, d, "benchmark").select("item_id", linkage.shingles(F.lower(F.substring("text", 1, 200))).alias("s")).where(F.size("s") > 0)
-    near = df.withColumn("with", F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)))
-    both = near.join(df.select(F.col("item_id").alias("with"), F.col("s").alias("s2")), "with")
-    return rounded(both.select(F.col("item_id").alias("a"), F.col("with").alias("b"), linkage.jaccard(F.col("s"), F.col("s2")).alias("j")), "j")
-
-
 @query("""with b as (select item_id, lower(text) as t from benchmark), g as (select item_id, list_distinct([substr(t, i, 4) for i in range(1, length(t) - 2)]) as s from b where length(t) >= 4)
 select x.item_id as a, y.item_id as b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) as j from g x join g y on x.item_id < y.item_id and list_has_any(x.s, y.s)""")
-def linkage_shingle_jaccard_whole(spark, d):
+def linkage_shingle_jaccard(spark, d):
     df = table(spark, d, "benchmark").select("item_id", linkage.shingles(F.lower("text")).alias("s")).where(F.size("s") > 0)
     each = df.select("item_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
     x, y = each.alias("x"), each.alias("y")
@@ -316,6 +290,6 @@ def linkage_same_item(spark, d):
     return linkage.same_item(df, "id", [["k1"], ["k2"]])
 
 
-@query("select distinct c.c_custkey as c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select distinct c.c_custkey as c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')")
 def linkage_anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").distinct()
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").distinct()

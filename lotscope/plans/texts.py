@@ -21,10 +21,10 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("with x as (select conv_id, turn, regexp_extract_all(text, '" + text.CONTACT + "') as f from conversations) select conv_id, turn, len(f) as n, array_to_string(f, '|') as found from x where len(f) > 0")
+@query("with x as (select doc_id, regexp_extract_all(text, '" + text.CONTACT + "') as f from documents) select doc_id, len(f) as n, array_to_string(f, '|') as found from x where len(f) > 0")
 def text_contacts(spark, d):
-    df = table(spark, d, "conversations").select("conv_id", "turn", text.contacts(F.col("text")).alias("f")).where(F.size("f") > 0)
-    return df.select("conv_id", "turn", F.size("f").cast("long").alias("n"), F.array_join("f", "|").alias("found"))
+    df = table(spark, d, "documents").select("doc_id", text.contacts(F.col("text")).alias("f")).where(F.size("f") > 0)
+    return df.select("doc_id", F.size("f").cast("long").alias("n"), F.array_join("f", "|").alias("found"))
 
 
 @query("select conv_id, turn, md5(regexp_replace(text, '" + text.CONTACT + "', '[contact]', 'g')) as digest from conversations")

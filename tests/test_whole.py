@@ -43,7 +43,7 @@ def test_comparables_of_all_makes(spark):
             got = tiers.get(tier, train)
             q = np.quantile([c.price for c in got], [*appraisal.TAU, 0.25, 0.75, 0.5])
             want[t.listing_id] = (tier, len(got), [(q[5] - q[4]) / q[6], *q[:4]])
-    got = registry.QUERIES["estimator_comparables_whole"](spark, D).collect()
+    got = registry.QUERIES["estimator_comparables"](spark, D).collect()
     assert len(got) == len(want)
     for r in got:
         tier, n, q = want[r.listing_id]
@@ -57,8 +57,8 @@ def test_reposts_of_another_trim(spark):
     for r in rows:
         of.setdefault((r.make, r.model, r.year), []).append(r)
     want = {(a.listing_id, b.listing_id) for g in of.values() for a in g for b in g if a.listing_id != b.listing_id and 1 <= (b.seen_on - a.seen_on).days <= 14}
-    assert {(r.old_id, r.new_id) for r in registry.QUERIES["linkage_repost_score_whole"](spark, D).collect()} == want
-    assert {r.new_id for r in registry.QUERIES["linkage_repost_top1_whole"](spark, D).collect()} == {b for _, b in want}
+    assert {(r.old_id, r.new_id) for r in registry.QUERIES["linkage_repost_score"](spark, D).collect()} == want
+    assert {r.new_id for r in registry.QUERIES["linkage_repost_top1"](spark, D).collect()} == {b for _, b in want}
 
 
 def test_shingles_of_whole_texts_far_apart(spark, tmp_path):
@@ -67,11 +67,11 @@ def test_shingles_of_whole_texts_far_apart(spark, tmp_path):
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     sets = {i: {t.lower()[k : k + 4] for k in range(len(t) - 3)} for i, t in rows if t}
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] & sets[b]}
-    got = {(r.a, r.b): r.j for r in registry.QUERIES["linkage_shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.j for r in registry.QUERIES["linkage_shingle_jaccard"](spark, str(tmp_path)).collect()}
     assert got == want and got[0, 9] == 1 > got[0, 1]
 
 
 def test_ranking_of_all_years(spark):
     want = {r.listing_id for r in appraisal.listings(spark, D).where("price is not null and model is not null").collect()}
-    assert {r.listing_id for r in registry.QUERIES["ranking_score_whole"](spark, D).collect()} == want
-    assert {r.query for r in registry.QUERIES["ranking_win_rate_whole"](spark, D).collect()} == {r.query for r in registry.QUERIES["ranking_diversify_whole"](spark, D).collect()}
+    assert {r.listing_id for r in registry.QUERIES["ranking_score"](spark, D).collect()} == want
+    assert {r.query for r in registry.QUERIES["ranking_win_rate"](spark, D).collect()} == {r.query for r in registry.QUERIES["ranking_diversify"](spark, D).collect()}
