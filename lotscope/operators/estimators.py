@@ -249,15 +249,24 @@ class LogLinear:
         return out.withColumns({f"q{i + 1}": F.exp(F.col("mu") + r) for i, r in enumerate(self.residuals)})
 
 
-def pooled_offsets(rows: DataFrame, group: str, resid: str) -> DataFrame:
-    """(group, n, mean, lam, offset): each group's mean residual, shrunk by how much groups differ beyond their noise."""
+def spread_of_groups(rows: DataFrame, group: str, resid: str) -> tuple[DataFrame, float, float]:
+    """(group, n, mean, v), the noise within groups, and how much their means differ beyond it."""
     per = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(resid).alias("mean"), F.var_samp(resid).alias("v"))
     whole = rows.agg(F.var_pop(resid)).first()[0] or 0.0
     r = per.agg(F.avg(F.when(F.col("n") > 1, F.col("v"))).alias("s2"), F.var_pop("mean").alias("vm"), F.avg("n").alias("n")).first()
     s2 = r["s2"] if r["s2"] is not None else whole
-    t2 = max(0.0, (r["vm"] or 0.0) - s2 / max(1, int(r["n"] or 1)))
+    return per, s2, max(0.0, (r["vm"] or 0.0) - s2 / max(1, int(r["n"] or 1)))
+
+
+def shrunk(per: DataFrame, s2: float, t2: float) -> DataFrame:
+    """(group, n, mean, lam, offset): each group's mean residual, shrunk by how much groups differ beyond their noise."""
     lam = F.lit(t2) / F.nullif(F.lit(t2) + F.lit(s2) / F.col("n"), F.lit(0.0))
-    return per.select(group, "n", "mean", F.coalesce(lam, F.lit(0.0)).alias("lam")).withColumn("offset", F.col("lam") * F.col("mean"))
+    return per.drop("v").withColumn("lam", F.coalesce(lam, F.lit(0.0))).withColumn("offset", F.col("lam") * F.col("mean"))
+
+
+def pooled_offsets(rows: DataFrame, group: str, resid: str) -> DataFrame:
+    """(group, n, mean, lam, offset) of the groups of some residuals."""
+    return shrunk(*spread_of_groups(rows, group, resid))
 
 
 @dataclass
@@ -279,7 +288,8 @@ class PartialPooling:
     def fit(self, train: DataFrame) -> PartialPooling:
         self.base = LogLinear(self.parent).fit(train)
         rows = self.base.predict(train.where("price > 0")).withColumn("resid", F.ln("price") - F.col("mu"))
-        self.t2, self.offsets = pooled(rows, self.trim, "resid")
+        per, s2, self.t2 = spread_of_groups(rows, self.trim, "resid")
+        self.offsets = shrunk(per, s2, self.t2)
         after = rows.join(self.offsets, self.trim).select((F.col("resid") - F.col("offset")).alias("r")).agg(F.percentile("r", F.array(*map(F.lit, QUANTILES))).alias("q"), F.var_pop("r").alias("v")).first()
         self.residuals, self.noise = list(after["q"]), after["v"] or 1e-12
         return self
@@ -294,15 +304,6 @@ class PartialPooling:
         return out.withColumns({"why": why, "extrapolated": why.isNotNull()}).drop("mu")
 
 
-def pooled(rows: DataFrame, group: str, resid: str) -> tuple[float, DataFrame]:
-    """The variance between groups beyond noise, and pooled_offsets written so that it isn't computed again."""
-    per = pooled_offsets(rows, group, resid)
-    found = per.where("lam > 0 and lam < 1").select((F.col("lam") / (1 - F.col("lam")) / F.col("n")).alias("ratio")).first()
-    within = rows.groupBy(group).agg(F.count("*").alias("n"), F.var_samp(resid).alias("v")).agg(F.avg(F.when(F.col("n") > 1, F.col("v")))).first()[0]
-    s2 = within if within is not None else rows.agg(F.var_pop(resid)).first()[0] or 0.0
-    return (found["ratio"] * s2 if found else 0.0), per
-
-
 def pooled_slices(predicted: DataFrame, trim: str = "model_key", y: str = "price") -> DataFrame:
     """(slice, n, mae, median_ae, coverage, coverage_error, shrinkage, extrapolated, off): well-observed, thin and held-out trims, and each trim with enough rows.
 

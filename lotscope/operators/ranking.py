@@ -199,3 +199,15 @@ def reweighted(terms: DataFrame, weights: Weights, id_col: str = "listing_id") -
     w = weights.normalized()
     signed = {"n_opportunity": w.value, "n_risk": -w.risk, "n_owning": -w.running_cost, "n_liquidity": w.liquidity, "n_mileage_km": -w.mileage, "n_recency": w.recency}
     return terms.select(id_col, sum((F.col(c) * v for c, v in signed.items()), F.lit(0.0)).alias("score"))
+
+
+def win_rate(scored: DataFrame, utility: str, k: int = 3, query: str = "query", id_col: str = "listing_id", price: str = "price") -> DataFrame:
+    """(query, ranked, cheapest, random, wins): mean utility of the first k by score, by price, and by a hash of the id, and whether the score's are no worse than the cheapest.
+
+    Each order's first k are kept by a rank that Spark limits before it shuffles, so a query's candidates are never sorted in one task.
+    """
+    out = None
+    for name, order in (("ranked", [F.desc("score"), F.asc(id_col)]), ("cheapest", [F.asc(price), F.asc(id_col)]), ("random", [F.sha2(F.col(id_col).cast("string"), 256).asc(), F.asc(id_col)])):
+        first = scored.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("_n") <= k).groupBy(query).agg(F.avg(utility).alias(name))
+        out = first if out is None else out.join(first, query)
+    return out.withColumn("wins", F.col("ranked") >= F.col("cheapest"))

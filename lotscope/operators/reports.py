@@ -33,7 +33,7 @@ def alerts(runs: DataFrame) -> DataFrame:
     seen = runs.withColumn("was", F.last("robots", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     alike = Window.partitionBy("source", "pages").orderBy("day", "run_id").rowsBetween(-COUNT_RUNS, -1)
     counted = runs.where("outcome = 'collected' and listings is not null").withColumns({"n": F.count("listings").over(alike), "some": F.array_sort(F.collect_list("listings").over(alike))})
-    counted = counted.where("n > 0").withColumn("mid", (F.expr("try_element_at(some, int((n + 1) div 2))") + F.expr("try_element_at(some, int(n div 2 + 1))")) / 2)
+    counted = counted.where("n > 0").withColumn("mid", (F.expr("get(some, int((n - 1) div 2))") + F.expr("get(some, int(n div 2))")) / 2)
     odd = counted.where((F.col("n") >= COUNT_LEAST) & ~F.col("listings").between(COUNT_LOW * F.col("mid"), COUNT_HIGH * F.col("mid")))
     out = None
     for kind, rows in (("stopped", runs.where("outcome <> 'collected'")), ("robots", seen.where("robots is not null and was is not null and robots <> was")), ("count", odd)):

@@ -115,6 +115,80 @@ def estimator_comparables(spark, d):
     return _comparables(halves(spark, d))
 
 
+@query(f"with q as (select * from ({PRICED}, {HALVES}, {_tiers()})), w as (select tier, coalesce(n, 0) as n, dispersion from q) select tier, case when tier in ('model_only', 'global') or n < 8 then 'low' when tier = 'strict' and n >= 25 and dispersion < 0.35 then 'high' else 'medium' end as quality, count(*) as rows from w group by all")
+def estimator_tier_histogram(spark, d):
+    """How many answers rest on which tier, and what that is worth."""
+    df = estimators.comparables(halves(spark, d).where("side = 'test'"), halves(spark, d).where("side = 'train'"), "model_key", "listing_id")
+    return df.withColumn("quality", estimators.evidence_quality(F.col("tier"), F.col("n"), F.col("dispersion"))).groupBy("tier", "quality").agg(F.count("*").alias("rows"))
+
+
+_OFF = "greatest(" + ", ".join(f"case when abs(coverage{i + 1} - {t}) > 2.5 * sqrt({t} * (1 - {t}) / n) then abs(coverage{i + 1} - {t}) else 0 end" for i, t in enumerate(TAU)) + ")"
+_BANDS = "case when q3 < 5e8 then 'pred<500M' when q3 < 1e9 then 'pred 500M-1B' when q3 < 2e9 then 'pred 1-2B' else 'pred>=2B' end, case when mileage_km < 5e4 then 'km<50k' when mileage_km < 1.5e5 then 'km 50-150k' when mileage_km < 2.5e5 then 'km 150-250k' else 'km>=250k' end"
+
+
+@query(f"{PRICED}, {HALVES}, t as (select *, {GLOBAL} from halved where side = 'test'), b as (select *, unnest(['overall', 'model=' || model_key, {_BANDS}]) as slice from t), m as (select slice, {METRICS} from b group by slice) select *, round({_OFF}, 6) as off from m")
+def metrics_benchmark(spark, d):
+    """Global quantiles on held-out items: overall, and in slices by model, predicted middle and mileage."""
+    out = estimators.benchmark(global_quantiles(spark, d), "model_key")
+    return rounded(rounded(out, "coverage1", "coverage2", "coverage3", "coverage4", "inside", "crossing", "off"), "pinball", digits=2)
+
+
+@query(f"{PRICED}, c as (select *, min(listing_id) over (partition by model_key, year, mileage_km, price) as cluster from priced), k as (select cluster, row_number() over (order by sha256('split' || cluster)) as i, count(*) over () as n from (select distinct cluster from c)) select listing_id, cluster, case when i <= greatest(1, round_even(n * 0.3, 0)) then 'test' else 'train' end as side from c join k using (cluster)")
+def split_within(spark, d):
+    return estimators.within_split(priced(spark, d)).select("listing_id", "cluster", "side")
+
+
+_HELD = "trims as (select model_key as k, row_number() over (order by sha256('trims' || model_key)) <= greatest(1, floor((select count(distinct model_key) from priced) * 0.2)) as held_out from (select distinct model_key from priced))"
+
+
+@query(f"{PRICED}, {_HELD} select k as model_key, held_out from trims")
+def split_held_out_trims(spark, d):
+    return estimators.held_out_groups(priced(spark, d), "model_key").select("model_key", "held_out").distinct()
+
+
+def _pooled(spark, d):
+    df = estimators.held_out_groups(halves(spark, d), "model_key")
+    model = estimators.PartialPooling().fit(df.where("side = 'train' and not held_out"))
+    return model.predict(df.where("side = 'test'"))
+
+
+_R = [f"quantile_cont(r, {t}) as r{i + 1}" for i, t in enumerate(TAU)]
+POOLED = f"""{PRICED}, {HALVES}, {_HELD}, rows_ as (select h.*, held_out, ln(price) as y, (year - 1990)::double as fy, mileage_km / 1e5 as fk from halved h join trims on model_key = k), tr as (select * from rows_ where side = 'train' and not held_out),
+lv as (select make as mk, avg(y) as ly, avg(fy) as lfy, avg(fk) as lfk from tr group by 1), inn as (select fy - lfy as a, fk - lfk as b, y - ly as c from tr join lv on make = mk), mm as (select avg(a) as ma, avg(b) as mb, avg(c) as mc from inn),
+ss as (select sum((a - ma) * (a - ma)) + 1 as s11, sum((a - ma) * (b - mb)) as s12, sum((b - mb) * (b - mb)) + 1 as s22, sum((a - ma) * (c - mc)) as t1, sum((b - mb) * (c - mc)) as t2, any_value(ma) as ma, any_value(mb) as mb, any_value(mc) as mc from inn, mm),
+cf as (select (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) as ca, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) as cb, ma, mb, mc from ss), mus as (select r.*, ly + ca * (fy - lfy) + cb * (fk - lfk) + mc - ma * ca - mb * cb as mu from rows_ r join lv on make = mk, cf),
+per as (select model_key as g, count(*) as n_trim, avg(y - mu) as mean, var_samp(y - mu) as v from mus where side = 'train' and not held_out group by 1), kk as (select avg(case when n_trim > 1 then v end) as s2, var_pop(mean) as vm, avg(n_trim) as nn from per), tt as (select s2, greatest(0, vm - s2 / greatest(1, floor(nn))) as tau2 from kk),
+off as (select g, n_trim, mean, coalesce(tau2 / nullif(tau2 + s2 / n_trim, 0), 0) as lam from per, tt), res as (select {', '.join(_R)}, var_pop(r) as noise from (select y - mu - lam * mean as r from mus join off on model_key = g where side = 'train' and not held_out)),
+pr as (select m.*, coalesce(n_trim, 0) as n_trim, coalesce(lam, 0) as shrinkage, coalesce(lam * mean, 0) as applied, list_sort([{', '.join(f'exp(mu + coalesce(lam * mean, 0) + sqrt(1 + (1 - coalesce(lam, 0)) * (1 - coalesce(lam, 0)) * (tau2 / noise)) * r{i + 1})' for i in range(4))}]) as q from mus m left join off on model_key = g, tt, res where side = 'test'),
+pooled as (select *, case when n_trim < 5 then 'few' when shrinkage < 0.5 then 'borrowed' end as why from pr)"""
+
+
+@query(f"{POOLED} select listing_id, n_trim, round(shrinkage, 6) as shrinkage, round(applied, 6) as applied, why, " + ", ".join(f"round(q[{i + 1}] / 1e6, 3) as q{i + 1}" for i in range(4)) + " from pooled")
+def estimator_pooled(spark, d):
+    """Estimates of held-out items, some of trims that were never seen, each with what it borrows."""
+    out = _pooled(spark, d).select("listing_id", "n_trim", "shrinkage", F.col("offset_applied").alias("applied"), "why", *((F.col(f"q{i + 1}") / 1e6).alias(f"q{i + 1}") for i in range(4)))
+    return rounded(rounded(out, "shrinkage", "applied"), "q1", "q2", "q3", "q4", digits=3)
+
+
+@query(f"""{POOLED}, s as (select *, unnest([case when held_out then 'held-out trim' when n_trim >= 5 then 'well-observed trim' when n_trim > 0 then 'thin trim' end, case when not held_out then 'trim=' || model_key end]) as slice from pooled),
+a as (select slice, count(*) as n, avg(abs(q[3] - price)) as mae, quantile_cont(abs(q[3] - price), 0.5) as median_ae, avg(case when price between q[1] and q[4] then 1.0 else 0 end) as coverage, avg(shrinkage) as shrinkage, avg(case when why is not null then 1.0 else 0 end) as extrapolated from s where slice is not null group by slice)
+select slice, n, round(mae / 1e6, 3) as mae, round(median_ae / 1e6, 3) as median_ae, round(coverage, 6) as coverage, round(abs(coverage - 0.7), 6) as coverage_error, round(shrinkage, 6) as shrinkage, round(extrapolated, 6) as extrapolated, round(greatest(0, abs(coverage - 0.7) - 2.5 * sqrt(0.21 / n)), 6) as off from a where not starts_with(slice, 'trim=') or n >= 58""")
+def estimator_pooled_slices(spark, d):
+    out = estimators.pooled_slices(_pooled(spark, d)).withColumns({"mae": F.col("mae") / 1e6, "median_ae": F.col("median_ae") / 1e6})
+    return rounded(rounded(out, "coverage", "coverage_error", "shrinkage", "extrapolated", "off"), "mae", "median_ae", digits=3)
+
+
+@query()
+def estimator_pooled_gate(spark, d):
+    """The verdict on partial pooling, with every reason and its kind."""
+    out = _pooled(spark, d).persist()
+    base = estimators.parent_median_baseline(out, halves(spark, d).where("side = 'train'"), "model_key")
+    mae = base.agg(F.avg(F.abs(F.col("q3") - F.col("price"))).alias("a"), F.avg(F.abs(F.col("baseline") - F.col("price"))).alias("b")).first()
+    verdict, why = estimators.PooledGate().verdict(estimators.four_slices(estimators.pooled_slices(out)), mae["a"], mae["b"])
+    out.unpersist()
+    return spark.createDataFrame([(verdict, *w) for w in why] or [(verdict, None, None, None)], "verdict string, kind string, subject string, reason string")
+
+
 @query(f"{PRICED}, {HALVES}, p as (select model_key, quantile_cont(cast(price as double), 0.5) as m from halved where side = 'train' group by 1) select h.make as make, count(*) as n, round(avg(abs(price - coalesce(m, (select quantile_cont(cast(price as double), 0.5) from halved where side = 'train')))), 2) as mae from halved h left join p using (model_key) where side = 'test' group by h.make")
 def estimator_baseline_mae(spark, d):
     df = halves(spark, d)
@@ -231,16 +305,11 @@ def ranking_ledger(spark, d):
     return rounded(out.select("listing_id", "missing", "imputed", "completeness"), "completeness")
 
 
-@query(f"""{ROWS}, {SCORED}, u as (select *, row_number() over (partition by query order by round(score, 9) desc, listing_id) as a, row_number() over (partition by query order by price, listing_id) as b from scored),
-m as (select query, avg(case when a <= 3 then opportunity end) as ranked, avg(case when b <= 3 then opportunity end) as cheapest from u group by query) select query, round(ranked, 2) as ranked, round(cheapest, 2) as cheapest, ranked >= cheapest as wins from m""")
+@query(f"""{ROWS}, {SCORED}, u as (select *, row_number() over (partition by query order by round(score, 9) desc, listing_id) as a, row_number() over (partition by query order by price, listing_id) as b, row_number() over (partition by query order by sha256(listing_id), listing_id) as c from scored),
+m as (select query, avg(case when a <= 3 then opportunity end) as ranked, avg(case when b <= 3 then opportunity end) as cheapest, avg(case when c <= 3 then opportunity end) as random from u group by query) select query, round(ranked, 2) as ranked, round(cheapest, 2) as cheapest, round(random, 2) as random, ranked >= cheapest as wins from m""")
 def ranking_win_rate(spark, d):
-    from pyspark.sql import Window
-
     scored = ranking.score(candidates(spark, d), ranking.Intent()).withColumn("score", F.round("score", 9))
-    a = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "listing_id"))
-    b = F.row_number().over(Window.partitionBy("query").orderBy("price", "listing_id"))
-    out = scored.withColumns({"a": a, "b": b}).groupBy("query").agg(F.avg(F.when(F.col("a") <= 3, F.col("opportunity"))).alias("ranked"), F.avg(F.when(F.col("b") <= 3, F.col("opportunity"))).alias("cheapest"))
-    return rounded(out.withColumn("wins", F.col("ranked") >= F.col("cheapest")), "ranked", "cheapest", digits=2)
+    return rounded(ranking.win_rate(scored, "opportunity"), "ranked", "cheapest", "random", digits=2)
 
 
 # review
