@@ -156,29 +156,32 @@ def comparables(test: DataFrame, train: DataFrame, key: str, id_col: str, least:
     """For each test row the tightest tier with `least` comparables: strict (year +-1 and mileage +-30 %), relaxed_mileage, relaxed_year,
     model_only or global; with their number, dispersion and price quantiles.
 
-    Train rows are first reduced to their distinct (year, mileage, price) of a model, with counts, so what a test row meets
-    are cells of its own model. Counts settle the tier; quantiles are then taken over the cells of that tier only, by their counts.
+    Both sides are first reduced to cells: train rows to their distinct (year, mileage, price) of a model, with counts, test rows to their
+    distinct (year, mileage) of a model. Cells meet within their model, and as they are grouped by it again, nothing is dealt out
+    a second time. Counts settle the tier; quantiles are then taken over the cells of that tier only, by their counts.
     """
     cells = train.groupBy(key, "year", "mileage_km", "price").agg(F.count("*").alias("w"))
     near_year = F.abs(F.col("t.year") - F.col("c.year")) <= 1
     near_km = (F.col("t.mileage_km") <= 0) | (F.abs(F.col("c.mileage_km") - F.col("t.mileage_km")) <= 0.3 * F.col("t.mileage_km"))
     tiers = {"strict": near_year & near_km, "relaxed_mileage": near_year, "relaxed_year": near_km, "model_only": F.lit(True)}
-    met = test.alias("t").join(cells.alias("c"), F.col(f"t.{key}") == F.col(f"c.{key}"))
+    at = [key, "year", "mileage_km"]
+    here = [F.col(f"t.{c}").alias(c) for c in at]
+    wanted = test.select(*at).distinct()
     asked = (*quantiles, 0.25, 0.75, 0.5)
     counts = [F.sum(F.when(ok, F.col("c.w")).otherwise(0)).alias(f"n_{name}") for name, ok in tiers.items()]
-    per = met.groupBy(F.col(f"t.{id_col}").alias(id_col)).agg(*counts)
+    per = wanted.alias("t").join(cells.alias("c"), F.col(f"t.{key}") == F.col(f"c.{key}")).groupBy(*here).agg(*counts)
     every = train.agg(F.count("*").alias("n"), F.percentile("price", F.array(*map(F.lit, asked))).alias("q")).first()
-    tier = F.coalesce(*(F.when(F.col(f"n_{name}") >= least, name) for name in tiers), F.lit("global"))
-    out = test.join(per, id_col, "left").withColumn("tier", tier)
+    per = per.withColumn("tier", F.coalesce(*(F.when(F.col(f"n_{name}") >= least, name) for name in tiers), F.lit("global")))
+    per = per.withColumn("n", F.coalesce(*(F.when(F.col("tier") == name, F.col(f"n_{name}")) for name in tiers), F.lit(every["n"]))).select(*at, "tier", "n")
     inside = F.coalesce(*(F.when(F.col("t.tier") == name, ok) for name, ok in tiers.items()), F.lit(False))
-    own = out.where("tier <> 'global'").alias("t").join(cells.alias("c"), (F.col(f"t.{key}") == F.col(f"c.{key}")) & inside)
-    own = own.groupBy(F.col(f"t.{id_col}").alias(id_col)).agg(F.percentile(F.col("c.price"), F.array(*map(F.lit, asked)), F.col("c.w")).alias("q"))
-    out = out.join(own, id_col, "left")
+    own = per.where("tier <> 'global'").alias("t").join(cells.alias("c"), (F.col(f"t.{key}") == F.col(f"c.{key}")) & inside)
+    own = own.groupBy(*here, F.col("t.tier").alias("tier"), F.col("t.n").alias("n")).agg(F.percentile(F.col("c.price"), F.array(*map(F.lit, asked)), F.col("c.w")).alias("q"))
+    out = test.join(own.withColumnsRenamed({c: f"_{c}" for c in at}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at], "left")
+    out = out.withColumns({"tier": F.coalesce("tier", F.lit("global")), "n": F.coalesce("n", F.lit(every["n"]))})
     world = every["q"] or [None] * len(asked)
-    pick = lambda i: F.when(F.col("tier") == "global", F.lit(world[i]).cast("double")).otherwise(F.col("q")[i])
-    count = F.coalesce(*(F.when(F.col("tier") == name, F.col(f"n_{name}")) for name in tiers), F.lit(every["n"]))
+    pick = lambda i: F.coalesce(F.col("q")[i], F.lit(world[i]).cast("double"))
     spread = F.try_divide(pick(-2 + len(asked)) - pick(-3 + len(asked)), pick(-1 + len(asked)))
-    return out.select(id_col, "price", "tier", count.alias("n"), spread.alias("dispersion"), *(pick(i).alias(f"q{i + 1}") for i in range(len(quantiles))))
+    return out.select(id_col, "price", "tier", "n", spread.alias("dispersion"), *(pick(i).alias(f"q{i + 1}") for i in range(len(quantiles))))
 
 
 def parent_median_baseline(test: DataFrame, train: DataFrame, key: str, y: str = "price") -> DataFrame:
