@@ -138,17 +138,22 @@ def score(df: DataFrame, x: Intent, query: str = "query") -> DataFrame:
 def diversify(scored: DataFrame, k: int = 5, query: str = "query", id_col: str = "listing_id") -> DataFrame:
     """Of each query the best offer, the best of low risk, the best bargain, the best cheap one (each not yet picked), then the next best, up to k; with the role.
 
-    Each role's pick is among its first few by score, so only those are kept before roles are given.
+    Each role's pick is among its first few by score, so only those are kept before roles are given: first of each of a query's parts, then
+    of the query, so that no task ranks all candidates of a query.
     """
     cheap = scored.groupBy(query).agg(F.percentile("price", F.lit(0.25)).alias("p25"))
     both = scored.join(cheap, query)
     order = [F.desc("score"), F.asc(id_col)]
     tests = {"safe": F.col("risk") <= 0.15, "bargain": F.col("opportunity") > 0, "cheap": F.col("price") <= F.col("p25")}
-    w = Window.partitionBy(query).orderBy(*order)
-    both = both.withColumn("place", F.row_number().over(w))
-    for name, ok in tests.items():
-        both = both.withColumn(f"is_{name}", ok).withColumn(f"n_{name}", F.row_number().over(Window.partitionBy(query, f"is_{name}").orderBy(*order)))
-    few = both.where(" or ".join([f"place <= {k + 4}", *(f"(is_{n} and n_{n} <= 4)" for n in tests)]))
+    both = both.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(32))).withColumns({f"is_{name}": ok for name, ok in tests.items()})
+
+    def first(df: DataFrame, by: list[str]) -> DataFrame:
+        df = df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        for name in tests:
+            df = df.withColumn(f"n_{name}", F.row_number().over(Window.partitionBy(*by, f"is_{name}").orderBy(*order)))
+        return df.where(" or ".join([f"place <= {k + 4}", *(f"(is_{n} and n_{n} <= 4)" for n in tests)]))
+
+    few = first(first(both, [query, "_part"]), [query])
     role = F.when(F.col("place") == 1, F.lit(0))
     few = few.withColumn("role", role)
     for i, name in enumerate(tests, 1):
