@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import lean, written
+from lotscope.operators.store import lean, written
 from lotscope.llm.vectors import rows, units
 
 _INDEX = "shard long, dim int, first binary, edges binary, vectors binary, ids binary, starts binary"

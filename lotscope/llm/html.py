@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import lean, written
+from lotscope.operators.store import lean, written
 from lotscope.llm.urls import host_and_path
 
 # Names of HTML's elements, and words by which pages mark what isn't their article.

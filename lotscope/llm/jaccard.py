@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.components import components
-from lotscope.llm.store import Table, lean
+from lotscope.operators.components import components
+from lotscope.operators.store import Table, lean
 from lotscope.llm.words import digest, pieces, shingle_sets, unzipped, zipped
 
 #: Shingles that one task counts: about 200 MB with what numpy needs beside them.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import written
+from lotscope.operators.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 

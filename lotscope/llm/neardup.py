@@ -19,8 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.components import components
-from lotscope.llm.store import lean, written
+from lotscope.operators.components import components
+from lotscope.operators.store import lean, written
 from lotscope.llm.vectors import rows, units
 
 _ROW = "dim int, id long, perm string, unit binary"

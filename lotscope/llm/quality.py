@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.sample import labelled
-from lotscope.llm.store import lean
+from lotscope.operators.store import lean
 from lotscope.llm.words import _BASE, _BYTE, _FOLD, MIX, mixed, pieces, prefix
 
 #: A document's shares sum to this in each family of features.

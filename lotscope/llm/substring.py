@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotscope.llm.store import lean, written
+from lotscope.operators.store import lean, written
 from lotscope.llm.words import MIX, Piece, digest, mixed, pieces, prefix, zipped, unzipped
 
 #: Windows that one task compares: about 100 MB with what numpy needs beside them.

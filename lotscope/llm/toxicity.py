@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.sample import labelled
-from lotscope.llm.store import lean
+from lotscope.operators.store import lean
 from lotscope.llm.words import _BASE, _BYTE, _FOLD, MIX, Piece, mixed, pieces, prefix
 
 # Frequent function words by which a language is guessed.

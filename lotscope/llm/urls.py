@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.store import Table, written
+from lotscope.operators.store import Table, written
 
 #: Hosts that absolute links lead to.
 LINK = r"""(?i)href[ \t\n\r\f]*=[ \t\n\r\f]*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<> \t\n\r\f]+)"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotscope.llm.store import lean
+from lotscope.operators.store import lean
 
 PIECE = 1 << 19
 U = np.uint64
