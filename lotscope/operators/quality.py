@@ -47,6 +47,14 @@ def hold_apart_far_prices(df: DataFrame, groups: list[str], price: str = "price"
     return both.withColumn("far", F.coalesce(far, F.lit(False))).drop("_n", "_mid", *(f"_{g}" for g in groups))
 
 
+def without_far_prices(graded_rows: DataFrame, groups: list[str], times: int = FAR, least: int = FAR_LEAST) -> DataFrame:
+    """Graded listings whose far prices have the status far_from_group, and are not eligible for that reason; rows stay."""
+    df = hold_apart_far_prices(graded_rows, groups, times=times, least=least)
+    why = F.when(F.col("far"), F.array(F.lit("price is far_from_group"))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumns({"price_status": F.when(F.col("far"), "far_from_group").otherwise(F.col("price_status")), "reasons": F.concat("reasons", why)})
+    return df.withColumn("eligible", F.size("reasons") == 0)
+
+
 def reasons(required: list[str], mileage_status: Column) -> Column:
     """All reasons why a listing may not be appraised, in a fixed order; empty if it may. Unknown provenance counts against it."""
     found = [F.when(F.col(c).isNull(), f"no {c}") for c in required]

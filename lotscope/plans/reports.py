@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotscope.operators import quality, ranking, reports
+from lotscope.operators import quality, ranking, reports, summary
 from lotscope.plans.market import GRADED, ROWS, graded, rounded
 from lotscope.plans.views import listings, table
+from lotscope.sources import pages
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -194,3 +195,41 @@ def ranking_reweighted(spark, d):
 
     kept = ranking.score(candidates(spark, d), ranking.Intent())
     return rounded(ranking.reweighted(kept, PRESETS["commute"]), "score")
+
+
+@query(f"""with {GRADED}, mid as (select make, model, count(price) as c, quantile_cont(cast(price as double), 0.5) as m from graded where price is not null group by all), f as (select g.*, coalesce(c >= 3 and (price >= 5 * m or 5 * price <= m), false) as far from graded g left join mid on g.make is not distinct from mid.make and g.model is not distinct from mid.model)
+select listing_id, case when far then 'far_from_group' else price_status end as price_status, len(reasons) = 0 and not far as eligible from f""")
+def quality_far_price_status(spark, d):
+    """Far prices by the policy's own numbers lose their status and with it their place among eligible listings."""
+    return quality.without_far_prices(graded(spark, d), ["make", "model"]).select("listing_id", "price_status", "eligible")
+
+
+@query(f"""{ROWS}, c as (select source, run_id, cluster_id % 7 as depth, count(*) as n from listings group by all), u as (select *, case when count(n) over w >= 3 then quantile_cont(cast(n as double), 0.5) over w end as usual from c window w as (partition by source, depth order by run_id rows between 7 preceding and 1 preceding))
+select source, run_id, depth, n, usual, coalesce(n < 0.5 * usual or n > 1.5 * usual, false) as odd from u""")
+def ops_volume_policy(spark, d):
+    """Runs against those before them that went as deep, by the policy's own bounds."""
+    counts = listings(spark, d).groupBy("source", "run_id", (F.col("cluster_id") % 7).alias("depth")).agg(F.count("*").alias("n"))
+    return summary.volume_anomalies(counts, ["source", "depth"], "run_id")
+
+
+@query("with x as (select page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1) as u, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) as t from pages where html is not null) select page_id, i - 1 as place, u[i] as url, trim(replace(replace(replace(t[i], '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as text from (select *, unnest(range(1, len(u) + 1)) as i from x)")
+def sources_page_cards(spark, d):
+    """List items of pages as cards."""
+    got = pages.extracted(table(spark, d, "pages"), lambda html: pages.cards(html, "li"))
+    return got.select("page_id", F.col("place").cast("long").alias("place"), F.get_json_object("record", "$[0]").alias("url"), F.get_json_object("record", "$[1]").alias("text"))
+
+
+ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: lot\nDisallow: /de\nDisallow: /*/1\nAllow: /de/7\nAllow: /fr/1$\n"
+
+
+@query("""with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path from pages), m as (select *, greatest(case when regexp_matches(path, '^/de/7') then 5 else -1 end, case when regexp_matches(path, '^/fr/1$') then 6 else -1 end) as yes, greatest(case when regexp_matches(path, '^/de') then 3 else -1 end, case when regexp_matches(path, '^/.*/1') then 4 else -1 end) as no from p)
+select page_id, yes >= no as allowed from m""")
+def sources_robots(spark, d):
+    """Which pages a robots file lets a reader named lot fetch."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", pages.robots_allow(path, 200, ROBOTS, "lotscope").alias("allowed"))
+
+
+@query("select page_id, case when regexp_matches(path, '/(en|fr)/[^/?#]+') then 'listing' when regexp_matches(path, '/(de|es)(/|$)') then 'category' else 'other' end as kind from (select page_id, regexp_extract(url, '^(?:[a-z]+://[^/?#]+)?([^?#]*)', 1) as path from pages)")
+def sources_url_kinds(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.url_kind(F.col("url"), r"/(?:en|fr)/[^/?#]+", r"/(?:de|es)(?:/|$)").alias("kind"))
