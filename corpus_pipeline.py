@@ -10,7 +10,7 @@ from lotscope.llm.mixing import emitted, mix
 from lotscope.llm.packing import pack
 from lotscope.llm.quality import score_quality, train_quality
 from lotscope.llm.queries import table, tokenizer_file
-from lotscope.llm.store import written
+from lotscope.operators.store import written
 from lotscope.llm.substring import substring_dedup
 
 #: Documents whose quality score is below this go.
@@ -43,12 +43,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix emits, repeated as often as it takes them."""
+    """The documents that the mix emits, repeated as often as it takes them. Null and empty texts have no words and go; a null source is a source; an empty table stays empty."""
     return emitted(docs, mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their token ids."""
+    """Pieces of documents in sequences, with their token ids. A null or empty text gives its end id; repeated rows are documents of their own; an empty table gives no sequences."""
     return pack(docs, tokenizer_file())
 
 
