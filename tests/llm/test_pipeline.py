@@ -76,3 +76,17 @@ def test_sequences_hold_every_token(steps):
     for r in steps[5].collect():
         have.update(np.frombuffer(r.ids, "<u4").tolist())
     assert have == want
+
+
+def test_stages_of_empty_tables_and_nulls(spark, tmp_path):
+    docs = table(spark, D, "documents")
+    for i, (_, f) in enumerate(p.STAGES):
+        assert f(spark, docs.limit(0), D).count() == 0
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "a b c", None, "a", 5)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, (name, f) in enumerate(p.STAGES):
+        got = f(spark, odd, D)
+        assert i == 4 or got.columns == odd.columns
+        got.write.parquet(str(tmp_path / str(i)))
+    packed = spark.read.parquet(str(tmp_path / "4"))
+    assert packed.where("start + length = doc_tokens").count() == len(rows)
