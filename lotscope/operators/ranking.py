@@ -35,16 +35,38 @@ class Intent:
     year_min: int = 0
     max_km: int = 0
     models: tuple[str, ...] = ()
+    provinces: tuple[str, ...] = ()
     breakers: tuple[str, ...] = ()
     soft: bool = False
     profile: str = "balanced"
     weights: Weights = field(default_factory=Weights)
 
 
-def judge(x: Intent) -> Column:
-    """map<string,string>: for each constraint that is set whether an offer meets it, breaks it, or it isn't known."""
+def red_line(name: str, columns: set[str]) -> Column:
+    """met, broken or unknown: what a listing says to a red line, from the columns it has (condition, document_issue, gearbox). A line without a rule is a condition that must not be; nothing to read it from is unknown."""
+    c = lambda n: F.col(n) if n in columns else F.lit(None).cast("string")
+    if name == "unclear_documents":
+        return F.when(c("document_issue").isNull(), "unknown").when(c("document_issue").cast("boolean"), "broken").otherwise("met")
+    if name == "manual":
+        return F.when(c("gearbox") == "manual", "broken").when(c("gearbox") == "automatic", "met").otherwise("unknown")
+    if name == "repaint":
+        return F.when(c("condition") == "intact", "met").when(c("condition").isin("minor_paint", "multi_paint", "replaced_part", "accident"), "broken").otherwise("unknown")
+    return F.when(c("condition").isNull() | (c("condition") == "unknown"), "unknown").when(c("condition") == name, "broken").otherwise("met")
+
+
+def judge(x: Intent, columns: set[str]) -> Column:
+    """map<string,string>: for each constraint that is set whether an offer meets it, breaks it, or it isn't known.
+
+    A mileage whose status says that it can't be believed decides nothing, nor does a price of no usable status or kind, where the offers have these columns.
+    """
     state = lambda value, ok: F.when(value.isNull(), "unknown").when(ok, "met").otherwise("broken")
     price, year, km = F.col("price"), F.col("year"), F.col("mileage_km")
+    if "mileage_status" in columns:
+        km = F.when(F.col("mileage_status").isin("ok", "plausible"), km)
+    if {"price_status", "price_kind"} <= columns:
+        from lotscope.operators.quality import priced
+
+        price = priced(price, F.col("price_status"), F.col("price_kind"))
     parts = []
     if x.budget_max:
         parts += [F.lit("budget"), state(price, price <= x.budget_max)]
@@ -54,14 +76,21 @@ def judge(x: Intent) -> Column:
         parts += [F.lit("year"), state(year, year >= x.year_min)]
     if x.max_km:
         parts += [F.lit("mileage"), state(km, km <= x.max_km)]
+    if x.provinces:
+        place = F.col("province") if "province" in columns else F.lit(None).cast("string")
+        parts += [F.lit("province"), state(F.nullif(place, F.lit("")), place.isin(list(x.provinces)))]
     for b in x.breakers:
-        parts += [F.lit(b), F.when(F.col("condition").isNull() | (F.col("condition") == "unknown"), "unknown").when(F.col("condition") == b, "broken").otherwise("met")]
+        parts += [F.lit(b), red_line(b, columns)]
     return F.create_map(*parts) if parts else F.create_map().cast("map<string,string>")
 
 
 def evidence(df: DataFrame, x: Intent) -> DataFrame:
-    """Offers that break nothing: matched (everything known and met) or apart, with what isn't known."""
-    judged = df.withColumn("judged", judge(x))
+    """Vehicles that break nothing (and are of the models asked for): matched (everything known and met) or apart, with what isn't known."""
+    if "product_class" in df.columns:
+        df = df.where("product_class = 'vehicle'")
+    if x.models:
+        df = df.where(F.lower("model").isin([m.lower() for m in x.models]))
+    judged = df.withColumn("judged", judge(x, set(df.columns)))
     values = F.map_values("judged")
     unknown = F.array_sort(F.map_keys(F.map_filter("judged", lambda _, v: v == "unknown")))
     kept = judged.where(~F.exists(values, lambda v: v == "broken"))
@@ -216,3 +245,9 @@ def win_rate(scored: DataFrame, utility: str, k: int = 3, query: str = "query",
         first = scored.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("_n") <= k).groupBy(query).agg(F.avg(utility).alias(name))
         out = first if out is None else out.join(first, query)
     return out.withColumn("wins", F.col("ranked") >= F.col("cheapest"))
+
+
+def shortlist(df: DataFrame, x: Intent, k: int = 5, query: str = "query", id_col: str = "listing_id") -> tuple[DataFrame, list[str]]:
+    """The picks of a buyer's intent and the steps taken to find enough: filtered, relaxed as far as needed, scored, diversified. df is as for `score`."""
+    found, steps = retrieve(df, x)
+    return diversify(score(found, x, query), k, query, id_col), steps

@@ -11,6 +11,7 @@ KNOWN_RATIO = [(0.90, 1.00), (0.70, 0.60), (0.50, 0.30), (0.00, 0.10)]
 TIER_CEILING = {"strict": 1.00, "relaxed_mileage": 0.70, "relaxed_year": 0.45, "model_only": 0.20, "global": 0.0}
 WEIGHTS = {"comparable": 0.25, "evidence": 0.20, "calibration": 0.20, "data_quality": 0.20, "temporal": 0.15}
 ANOMALY, HIGH_AT, MEDIUM_AT, LEAST = 0.30, 0.68, 0.42, 0.20
+SURE_LINK = 0.85
 FEW_COMPARABLES, DISPERSED, DOMINATED, TOO_WIDE = 8, 0.55, 12, 0.60
 SEVERITY_RISK = {"low": 0.10, "medium": 0.25, "high": 0.50}
 LEVELS = ["HIGH", "MEDIUM", "LOW", "INSUFFICIENT_EVIDENCE"]
@@ -127,6 +128,27 @@ def reviewed(df: DataFrame, shift_severe: bool = False) -> DataFrame:
     return verdicts(confidence(df))
 
 
+def evidence_packet(tracked: DataFrame, events: DataFrame) -> DataFrame:
+    """(item, span, present_days, unknown_days, reposts, weak_link, price_changes): what was seen of each item, from tracking.day_accounts and events (item, event, score)."""
+    changes = events.groupBy("item").agg(F.count_if(F.col("event") == "price_change").alias("price_changes"), F.count_if(F.col("event") == "reposted").alias("reposts"), F.max((F.col("event") == "reposted") & F.coalesce(F.col("score") < SURE_LINK, F.lit(False))).alias("weak_link"))
+    out = tracked.select("item", "span", "present_days", "unknown_days").join(changes, "item", "left")
+    return out.na.fill(0, ["price_changes", "reposts"]).withColumn("weak_link", F.coalesce("weak_link", F.lit(False)))
+
+
+def answers(listings: DataFrame, packets: DataFrame, comparables: DataFrame, estimates: DataFrame | None, train: DataFrame, key: str = "model_key", id_col: str = "listing_id", item: str = "item", shift_severe: bool = False) -> DataFrame:
+    """Every listing's reviewed answer: what was seen of it, what it is compared with, an estimate if an accepted estimator serves one (else None), both reviews, and the verdict.
+
+    listings: id, key, price and item; comparables: id, tier, n, dispersion; estimates: id, q1.., q4. A listing without history or comparables is judged as one without.
+    """
+    out = market_range(listings, train, key).join(packets.withColumn("tracked", F.lit(True)), item, "left").join(comparables.select(id_col, "tier", "n", "dispersion"), id_col, "left")
+    if estimates is None:
+        out = out.withColumns({"served": F.lit(False), "q1": F.lit(None).cast("double"), "q4": F.lit(None).cast("double")})
+    else:
+        out = out.join(estimates.select(id_col, "q1", "q4").withColumn("served", F.lit(True)), id_col, "left")
+    filled = {"tracked": False, "weak_link": False, "served": False, "span": 0, "present_days": 0, "unknown_days": 0, "reposts": 0, "n": 0, "tier": "global", "dispersion": float("nan")}
+    return reviewed(out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in filled.items()}), shift_severe)
+
+
 def claim_of_comparables(tier: Column, n: Column) -> Column:
     """What may be said of the comparables: only those of the strict tier are called alike (wording is a fixed value)."""
     say = lambda tail: F.concat(n.cast("string"), F.lit(tail))

@@ -249,7 +249,7 @@ def estimator_bootstrap(spark, d):
 # ranking
 
 ASK = ranking.Intent(budget_max=3_000_000_000, year_min=1997, max_km=480_000, breakers=("accident",))
-JUDGED = "judged as (select *, [case when price is null then 'unknown' when price <= 3000000000 then 'met' else 'broken' end, case when year is null then 'unknown' when year >= 1997 then 'met' else 'broken' end, case when mileage_km is null then 'unknown' when mileage_km <= 480000 then 'met' else 'broken' end, case when condition is null or condition = 'unknown' then 'unknown' when condition = 'accident' then 'broken' else 'met' end] as states from listings)"
+JUDGED = "judged as (select *, [case when price is null then 'unknown' when price <= 3000000000 then 'met' else 'broken' end, case when year is null then 'unknown' when year >= 1997 then 'met' else 'broken' end, case when mileage_km is null then 'unknown' when mileage_km <= 480000 then 'met' else 'broken' end, case when condition is null or condition = 'unknown' then 'unknown' when condition = 'accident' then 'broken' else 'met' end] as states from listings where product_class = 'vehicle')"
 
 
 @query(f"{ROWS}, {JUDGED} select listing_id, array_to_string(list_filter([case when states[4] = 'unknown' then 'accident' end, case when states[1] = 'unknown' then 'budget' end, case when states[3] = 'unknown' then 'mileage' end, case when states[2] = 'unknown' then 'year' end], lambda x: x is not null), ',') as unknown, case when list_contains(states, 'unknown') then 'apart' else 'matched' end as shelf from judged where not list_contains(states, 'broken')")

@@ -136,3 +136,68 @@ def test_components(spark, room):
     edges = [(5, 4), (4, 3), (9, 9), (8, 7), (3, 1), (7, 8)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), room=room).collect()}
     assert got == {5: 1, 4: 1, 3: 1, 1: 1, 8: 7, 7: 7}
+
+
+def test_red_lines_and_provinces(spark):
+    from lotscope.operators import ranking
+
+    rows = [(1, "intact", False, "automatic", "تهران", 10, "ok"), (2, "minor_paint", None, None, None, 10, "ok"), (3, "intact", True, "automatic", "تهران", 10, "ok"), (4, "intact", False, "automatic", "یزد", 10, "ok"), (5, "intact", False, "automatic", "تهران", 10, "suspicious"), (6, "intact", False, "manual", "تهران", 10, "ok")]
+    df = spark.createDataFrame(rows, "listing_id int, condition string, document_issue boolean, gearbox string, province string, mileage_km long, mileage_status string").withColumns({"price": F.lit(5), "year": F.lit(1400), "model": F.lit("Dena")})
+    x = ranking.Intent(max_km=100, provinces=("تهران",), breakers=("unclear_documents", "manual", "repaint"))
+    got = {r.listing_id: (r.shelf, list(r.unknown)) for r in ranking.evidence(df, x).collect()}
+    assert got == {1: ("matched", []), 5: ("apart", ["mileage"])}
+    got = {r.listing_id: list(r.unknown) for r in ranking.evidence(df, ranking.Intent(provinces=("تهران",), breakers=("manual", "unclear_documents"), models=("dena",))).collect()}
+    assert got[2] == ["manual", "province", "unclear_documents"] and ranking.evidence(df, ranking.Intent(models=("tara",))).count() == 0
+
+
+def test_keyed_hash(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("سلام",), ("",), (None,)], "t string")
+    for key in (b"k", b"x" * 100):
+        want = [None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in ("سلام", "", None)]
+        assert [r[0] for r in df.select(text.hmac_sha256(F.col("t"), key)).collect()] == want
+
+
+def test_reposts_chain_within_their_window(spark):
+    from lotscope.operators import linkage
+
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    base = dict(make="m", model="x", year=1400, trim="t", color="c", province="p", seller="s", mileage_km=1000, price=100, photos=["a", "b", "c"])
+    row = lambda i, on, **x: {"listing_id": i, "seen_on": day(on), **base, **x}
+    old = spark.createDataFrame([row("a", 0), row("z", 0, model="y"), row("b", 10)])
+    new = spark.createDataFrame([row("b", 10), row("c", 20), row("late", 40), row("y2", 5, model="y", seller="o", photos=["q"], province="o")])
+    got = {r.listing_id: (r.tracking_id, r.reposts) for r in linkage.reposts(old, new).collect()}
+    assert got == {"a": ("a", 2), "b": ("a", 2), "c": ("a", 2), "late": ("late", 0), "z": ("z", 0), "y2": ("y2", 0)}
+
+
+def test_answers_without_history_or_estimate(spark):
+    listings = spark.createDataFrame([("l1", "m|x", 100, "i1"), ("l2", "m|x", 100, "i2")], "listing_id string, model_key string, price long, item string")
+    days = spark.createDataFrame([("i1", 9, 8, 1)], "item string, span int, present_days long, unknown_days long")
+    events = spark.createDataFrame([("i1", "reposted", 0.8), ("i1", "price_change", None)], "item string, event string, score double")
+    comparables = spark.createDataFrame([("l1", "strict", 40, 0.1)], "listing_id string, tier string, n long, dispersion double")
+    train = spark.createDataFrame([("m|x", p) for p in range(80, 121)], "model_key string, price long")
+    packets = review.evidence_packet(days, events)
+    estimates = spark.createDataFrame([("l1", 95.0, 105.0), ("l2", 95.0, 105.0)], "listing_id string, q1 double, q4 double")
+    got = {r.listing_id: (r.decision, [f.code for f in r.findings]) for r in review.answers(listings, packets, comparables, estimates, train).collect()}
+    assert "repost_link_uncertain" in got["l1"][1] and "weak_comparable_tier" in got["l2"][1] and got["l2"][0] == "insufficient_evidence"
+    none = {r.listing_id: r.decision for r in review.answers(listings, packets, comparables, None, train).collect()}
+    assert none == {"l1": "reject", "l2": "reject"}
+
+
+def test_protocols(spark):
+    from lotscope import protocols
+
+    assert isinstance(estimators.PartialPooling(), protocols.Estimator) and isinstance(estimators.LogLinear("model_key"), protocols.Estimator)
+
+    class Two:
+        name = "two"
+
+        def read(self):
+            return spark.range(2)
+
+    assert isinstance(Two(), protocols.SourceAdapter) and protocols.collected([Two()])[0].count() == 2
+    df = estimators.synthetic_corpus(spark, 600, 1)
+    got = {r.slice: r.n for r in protocols.benchmarked(estimators.PartialPooling(), df.where("listing_id % 5 > 0"), df.where("listing_id % 5 = 0")).collect()}
+    assert got["overall"] == 120 and sum(n for s, n in got.items() if s.startswith("km")) == 120
