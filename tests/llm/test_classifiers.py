@@ -66,3 +66,56 @@ def test_mixing_equals_sql(spark):
     names = ["doc_id", "size", "source_size", "target", "taken"]
     got = sorted(tuple(r) for r in op7_source_mixing(spark, d).select(names).collect())
     assert got == sorted(con.execute(f"select {', '.join(names)} from ({SQL['op7_source_mixing']})").fetchall())
+
+
+def some_texts():
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["good", "Bad", "%%%", "12", "the", "idiot", "ß", "x1", "HELLO"]) for _ in range(r.randrange(40))) for _ in range(120)]
+    return [*texts, None, "", " \n", "z " * 5000, texts[3], texts[3]]
+
+
+def test_quality_scores_are_sparse_dot_products():
+    """Each text's vector built outright, and scores that don't depend on what stands beside a text."""
+    from lotscope.llm.words import pieces
+
+    texts = some_texts()
+    model = quality.fit(pa.table({"text": texts[:100], "label": pa.array([i % 2 for i in range(100)], pa.int32())}))
+    got = model.scores(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        piece = next(pieces(pa.array([text])))
+        f, _ = quality.features(piece, len(model.weights))
+        ids, many = np.unique(f, return_counts=True)
+        z = model.bias + sum(float(model.weights[i]) * n for i, n in zip(ids, many, strict=True)) * quality.SCALE / max(1, len(f))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+        assert model.scores(pa.array([text]))[0] == score
+
+
+def test_toxicity_scores_are_those_of_a_plain_network():
+    """Every window of every filter in loops, the largest response of each, thresholds by language."""
+    from lotscope.llm.words import pieces
+
+    texts = some_texts()
+    model = toxicity.fit(pa.table({"text": texts[:100], "label": pa.array([i % 2 for i in range(100)], pa.int32())}), epochs=2)
+    votes = toxicity.language_votes(len(model.table))
+    got = model.scores(pa.array(texts), votes)
+    for k in range(0, len(texts), 7):
+        piece = next(pieces(pa.array([texts[k]])))
+        ids = toxicity.word_ids(piece, len(model.table))
+        x = [model.table[row].astype(float).sum(axis=0) for row in ids]
+        best = []
+        for f, b in zip(model.filters, model.biases, strict=True):
+            for c in range(f.shape[2]):
+                seen = [b[c] + sum(float(x[i + j] @ f[j, :, c]) for j in range(len(f))) for i in range(len(x) - len(f) + 1)]
+                best.append(max([0.0, *seen]))
+        z = float(np.dot(best, model.weights)) + model.bias - model.shift[toxicity.guess(ids, np.array([0, len(ids)]), votes)[0]]
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_scores_replace_a_clashing_column_and_keep_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "good", "old"), (1, "good", "old"), (2, "%%%", "old")], "doc_id long, text string, score string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for train, score in ((quality.train_quality, quality.score_quality), (toxicity.train_toxicity, toxicity.score_toxicity)):
+        got = score(docs, train(docs, none), "score")
+        assert got.columns == docs.columns and dict(got.dtypes)["score"] == "double" and got.count() == 3

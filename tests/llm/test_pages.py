@@ -116,3 +116,10 @@ def test_verdicts_of_long_chains(spark):
     rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">x</a>') for i in range(12)] + [(12, "http://h12.net/", "")]
     got = url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "h12.net", "/")]).collect()
     assert {r.verdict for r in got} == {"block"}
+
+
+def test_url_filter_with_clashing_columns_and_long_pages(spark):
+    page = '<a href="http://b.net/">x</a>' * 50_000
+    df = spark.createDataFrame([(1, "http://a.net/", page, "h", "p", "r", "v"), (2, "http://b.net/", None, "h", "p", "r", "v")], "page_id long, url string, html string, host string, path string, rule string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(df, [("block", "b.net", "/")]).collect()}
+    assert got == {1: ("a.net", "/", None, "block"), 2: ("b.net", "/", "b.net/", "block")}

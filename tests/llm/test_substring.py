@@ -53,3 +53,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert got.columns == ["doc_id", "text", "grp", "kept", "n_words", "n_removed", "cuts"]
     assert sorted((x.doc_id, x.text, x.grp, x.kept) for x in got.collect()) == [(1, "a b", "x", "a b"), (2, None, None, "")]
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def test_long_texts_at_the_width_of_the_query(spark):
+    r = random.Random(7)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    long, part = new(30_000), new(70)
+    rows = [(4, " ".join(long)), (2, " ".join(new(200) + long[100:400] + new(30) + part)), (9, " ".join(part[:50] + new(5) + part)), (1, " ".join(part[:49])), (7, " ".join(long[:49] + new(1) + long[29_950:]))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in got) == brute(rows, 50)
+    assert {x.doc_id: x.n_removed for x in got}[4] == 300
