@@ -92,17 +92,18 @@ def metrics_wilson(spark, d):
 
 
 def _tiers() -> str:
-    ok = {"strict": "abs(t.year - c.year) <= 1 and (t.mileage_km <= 0 or abs(c.mileage_km - t.mileage_km) <= 0.3 * t.mileage_km)", "relaxed_mileage": "abs(t.year - c.year) <= 1", "relaxed_year": "(t.mileage_km <= 0 or abs(c.mileage_km - t.mileage_km) <= 0.3 * t.mileage_km)", "model_only": "true"}
+    ok = {"strict": "abs(t.year - c.year) <= 1 and (t.mileage_km <= 0 or abs(c.mileage_km - t.mileage_km) <= 0.3 * t.mileage_km)", "relaxed_mileage": "abs(t.year - c.year) <= 1", "relaxed_year": "(t.mileage_km <= 0 or abs(c.mileage_km - t.mileage_km) <= 0.3 * t.mileage_km)", "model_only": "c.price is not null"}
     aggs = []
     for name, x in ok.items():
         aggs.append(f"count_if({x}) as n_{name}")
         aggs += [f"quantile_cont(case when {x} then cast(c.price as double) end, {t}) as {name}_{i + 1}" for i, t in enumerate(TAU)]
         aggs += [f"quantile_cont(case when {x} then cast(c.price as double) end, {t}) as {name}_{n}" for n, t in (("lo", 0.25), ("hi", 0.75), ("mid", 0.5))]
     tier = "case " + " ".join(f"when n_{n} >= 5 then '{n}'" for n in ok) + " else 'global' end"
-    pick = lambda c: "case tier " + " ".join(f"when '{n}' then {n}_{c}" for n in ok) + " end"
+    pick = lambda c: "case tier " + " ".join(f"when '{n}' then {n}_{c}" for n in ok) + f" else world_{c} end"
+    world = ", ".join(["count(*) as world_n", *(f"quantile_cont(cast(price as double), {t}) as world_{n}" for n, t in [*((i + 1, t) for i, t in enumerate(TAU)), ("lo", 0.25), ("hi", 0.75), ("mid", 0.5)])])
     qs = ", ".join(f"round({pick(i + 1)}, 2) as q{i + 1}" for i in range(4))
-    return f"""m as (select t.listing_id as listing_id, t.price as price, {', '.join(aggs)} from halved t join halved c on t.model_key = c.model_key where t.side = 'test' and c.side = 'train' group by t.listing_id, t.price),
-    x as (select *, {tier} as tier from m) select listing_id, price, tier, {pick('n').replace('strict_n', 'n_strict').replace('relaxed_mileage_n', 'n_relaxed_mileage').replace('relaxed_year_n', 'n_relaxed_year').replace('model_only_n', 'n_model_only')} as n, round(({pick('hi')} - {pick('lo')}) / {pick('mid')}, 6) as dispersion, {qs} from x"""
+    return f"""m as (select t.listing_id as listing_id, t.price as price, {', '.join(aggs)} from (select * from halved where side = 'test') t left join (select * from halved where side = 'train') c on t.model_key = c.model_key group by t.listing_id, t.price),
+    w_ as (select {world} from halved where side = 'train'), x as (select *, {tier} as tier from m, w_) select listing_id, price, tier, {pick('n').replace('strict_n', 'n_strict').replace('relaxed_mileage_n', 'n_relaxed_mileage').replace('relaxed_year_n', 'n_relaxed_year').replace('model_only_n', 'n_model_only')} as n, round(({pick('hi')} - {pick('lo')}) / {pick('mid')}, 6) as dispersion, {qs} from x"""
 
 
 def _comparables(df):
