@@ -53,7 +53,8 @@ def unsaid(found: DataFrame, said: DataFrame) -> DataFrame:
 
 
 def eligibility_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """One row: eligible before and after, lost on the way (or not there any more), and gained, which must be none. Both have `key` and eligible."""
+    """One row: eligible before and after, lost on the way (or not there any more), and gained, which must be none. Both have `key` and eligible; rows that share a key count as one, eligible if any is."""
+    before, after = (df.groupBy(key).agg(F.max("eligible").alias("eligible")) for df in (before, after))
     both = before.select(key, F.col("eligible").alias("a")).join(after.select(key, F.col("eligible").alias("b")), key, "left").select(F.col("a"), F.coalesce("b", F.lit(False)).alias("b"))
     counts = both.agg(F.count_if("a").alias("before"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(~F.col("a") & F.col("b")).alias("gained"))
     return counts.crossJoin(after.agg(F.count_if("eligible").alias("after")))
@@ -62,9 +63,9 @@ def eligibility_changes(before: DataFrame, after: DataFrame, key: str) -> DataFr
 def field_survival(parsed: DataFrame, snapshot: DataFrame, published: DataFrame, fields: list[str]) -> DataFrame:
     """(field, parsed, snapshot, published, lost): rows of the same parsed listings that hold a field at each stage; lost: they held it when parsed and not when published.
 
-    Ids of later stages may carry their source before a colon.
+    Ids of later stages may carry their source before a colon; of rows that share an id any may hold a field.
     """
-    bare = lambda df, p: df.select(F.substring_index("listing_id", ":", -1).alias("id"), *(F.col(f).isNotNull().alias(f"{p}_{f}") for f in fields)).dropDuplicates(["id"])
+    bare = lambda df, p: df.groupBy(F.substring_index("listing_id", ":", -1).alias("id")).agg(*(F.max(F.col(f).isNotNull()).alias(f"{p}_{f}") for f in fields))
     both = bare(parsed, "a").join(bare(snapshot, "b"), "id", "left").join(bare(published, "c"), "id", "left")
     held = lambda p, f: F.coalesce(F.col(f"{p}_{f}"), F.lit(False))
     rows = [F.struct(F.lit(f).alias("field"), *(F.count_if(held(p, f)).alias(n) for p, n in (("a", "parsed"), ("b", "snapshot"), ("c", "published"))), F.count_if(held("a", f) & ~held("c", f)).alias("lost")) for f in fields]

@@ -74,7 +74,7 @@ def ops_loglog_slope(spark, d):
     return rounded(both.select("a", reports.loglog_slope(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("slope")), "slope")
 
 
-@query(f"""with {GRADED}, a as (select listing_id, len(reasons) = 0 as e from graded), b as (select listing_id, len(reasons) = 0 and mileage_km < 900000 or cluster_id % 29 = 0 as e from graded where cluster_id % 31 <> 0)
+@query(f"""with {GRADED}, a as (select listing_id, bool_or(len(reasons) = 0) as e from graded group by 1), b as (select listing_id, bool_or(coalesce(len(reasons) = 0 and mileage_km < 900000, false) or cluster_id % 29 = 0) as e from graded where cluster_id % 31 <> 0 group by 1)
 select (select count_if(e) from a) as "before", (select count_if(a.e and not coalesce(b.e, false)) from a left join b using (listing_id)) as lost, (select count_if(not a.e and coalesce(b.e, false)) from a left join b using (listing_id)) as gained, (select count_if(e) from b) as "after\"""")
 def tracking_eligibility_changes(spark, d):
     before = graded(spark, d)
@@ -82,7 +82,7 @@ def tracking_eligibility_changes(spark, d):
     return reports.eligibility_changes(before, after, "listing_id")
 
 
-@query(f"""{ROWS}, a as (select listing_id as id, model, price, trim from listings), b as (select * from a where price is null or price % 3 <> 0), c as (select id, case when price % 2 = 0 then model end as model, price, null::varchar as trim from b), j as (select a.model as am, a.price as ap, a.trim as at_, b.model as bm, b.price as bp, b.trim as bt, c.model as cm, c.price as cp, c.trim as ct from a left join b using (id) left join c using (id))
+@query(f"""{ROWS}, a0 as (select listing_id as id, model, price, trim from listings), b0 as (select * from a0 where price is null or price % 3 <> 0), c0 as (select id, case when price % 2 = 0 then model end as model, price, null::varchar as trim from b0), a as (select id, max(model) as model, max(price) as price, max(trim) as trim from a0 group by 1), b as (select id, max(model) as model, max(price) as price, max(trim) as trim from b0 group by 1), c as (select id, max(model) as model, max(price) as price, max(trim) as trim from c0 group by 1), j as (select a.model as am, a.price as ap, a.trim as at_, b.model as bm, b.price as bp, b.trim as bt, c.model as cm, c.price as cp, c.trim as ct from a left join b using (id) left join c using (id))
 select 'model' as field, count(am) as parsed, count(bm) as snapshot, count(cm) as published, count_if(am is not null and cm is null) as lost from j union all select 'price', count(ap), count(bp), count(cp), count_if(ap is not null and cp is null) from j union all select 'trim', count(at_), count(bt), count(ct), count_if(at_ is not null and ct is null) from j""")
 def tracking_field_survival(spark, d):
     parsed = listings(spark, d).withColumn("listing_id", F.translate("listing_id", ":", "-"))
