@@ -206,7 +206,14 @@ def estimator_ridge(spark, d):
     return rounded(spark.createDataFrame([(float(r.coef[0]), float(r.coef[1]), r.intercept)], "year_effect double, km_effect double, intercept double"), "year_effect", "km_effect", "intercept")
 
 
-@query()
+_LOG = f"""{PRICED}, {HALVES}, rows_ as (select *, ln(price) as y, (year - 1990)::double as fy, mileage_km / 1e5 as fk from halved), lv as (select model_key as mk, avg(y) as ly, avg(fy) as lfy, avg(fk) as lfk from rows_ where side = 'train' group by 1),
+wd as (select avg(ly) as wy, avg(lfy) as wfy, avg(lfk) as wfk from lv), inn as (select fy - lfy as a, fk - lfk as b, y - ly as c from rows_ join lv on model_key = mk where side = 'train'), mm as (select avg(a) as ma, avg(b) as mb, avg(c) as mc from inn),
+ss as (select sum((a - ma) * (a - ma)) + 1 as s11, sum((a - ma) * (b - mb)) as s12, sum((b - mb) * (b - mb)) + 1 as s22, sum((a - ma) * (c - mc)) as t1, sum((b - mb) * (c - mc)) as t2, any_value(ma) as ma, any_value(mb) as mb, any_value(mc) as mc from inn, mm),
+cf as (select (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) as ca, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) as cb, ma, mb, mc from ss), rq as (select {', '.join(f'quantile_cont(c - ca * a - cb * b - (mc - ma * ca - mb * cb), {t}) as r{i + 1}' for i, t in enumerate(TAU))} from inn, cf),
+mu as (select r.*, coalesce(ly, wy) + ca * (fy - coalesce(lfy, wfy)) + cb * (fk - coalesce(lfk, wfk)) + mc - ma * ca - mb * cb as mu from rows_ r left join lv on model_key = mk, cf, wd where side = 'test'), t as (select mu.*, {', '.join(f'exp(mu.mu + r{i + 1}) as q{i + 1}' for i in range(4))} from mu, rq)"""
+
+
+@query(f"{_LOG} select make, {METRICS} from t group by make")
 def estimator_log_linear(spark, d):
     """Coverage of the log-linear model on held-out items."""
     df = halves(spark, d)

@@ -53,7 +53,7 @@ def ops_backoff(spark, d):
     return df.withColumn("wait", text.backoff_seconds(F.col("attempt"))).groupBy("attempt", "wait").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select l_linenumber::bigint * 1000000000 + 480000000 as price, (80 + l_linenumber)::bigint * 1000 as km, (1390 + l_linenumber)::integer as year, count(*) as n from lineitem group by all")
 def text_parsed_amounts(spark, d):
     """Amounts, distances and years of listing sentences made from order lines."""
     n = F.col("l_linenumber").cast("string")
