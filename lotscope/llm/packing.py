@@ -48,34 +48,57 @@ def cuts(ends: np.ndarray, costs: np.ndarray, limit: int, anywhere: float) -> li
     order = np.argsort(later, kind="stable")
     earlier = earlier[order].tolist()
     hits = np.searchsorted(later[order], np.arange(n + 1)).tolist()
-    best, key, back = [0.0] * n, [0.0] * n, [0] * n
     gap = int(np.max(np.diff(place))) if n > 1 else 0
-    queues = [[] for _ in range(1 + -(-gap // limit))]  # boundaries with growing key; `fronts`: the first that is not too far
-    fronts, heads = [0] * len(queues), [0] * len(queues)
+    reach = [np.searchsorted(place, place - k * limit).tolist() for k in range(2 + -(-gap // limit))]
+    far = reach[1]
+    # Of each kind but the first: what it costs besides its key, where its boundaries end and begin, the next one to come, its queue, the queue's front.
+    more = [[k * anywhere + (k + 1) * limit, reach[k], reach[k + 1], 0, [], 0] for k in range(1, len(reach) - 1)]
+    best, key, back = [0.0] * n, [0.0] * n, [0] * n
+    queue, front, h = [0], 0, 0  # boundaries with growing key; `front`: the first that is not too far
     for j in range(1, n):
-        x, low, choice = at[j], float("inf"), 0
-        for k, q in enumerate(queues):
-            i, front, near = heads[k], fronts[k], x - k * limit
-            while i < j and at[i] < near:
-                v = key[i]
-                while len(q) > front and key[q[-1]] >= v:
-                    q.pop()
-                q.append(i)
-                i += 1
-            heads[k] = i
-            far = near - limit
-            while front < len(q) and at[q[front]] < far:
-                front += 1
-            fronts[k] = front
-            if front < len(q):
-                v = key[q[front]] + k * anywhere - far
+        x, first = at[j], far[j]
+        size = len(queue)
+        while front < size and queue[front] < first:
+            front += 1
+        if front < size:
+            choice = queue[front]
+            low = key[choice] + limit - x
+        else:
+            low, choice = float("inf"), 0
+        for kind in more:
+            fixed, near, begin, i, q, f = kind
+            end = near[j]
+            if i < end:
+                while i < end:
+                    v = key[i]
+                    while len(q) > f and key[q[-1]] >= v:
+                        q.pop()
+                    q.append(i)
+                    i += 1
+                kind[3] = i
+            if f < len(q):
+                first = begin[j]
+                if q[f] < first:
+                    while f < len(q) and q[f] < first:
+                        f += 1
+                    kind[5] = f
+                    if f == len(q):
+                        continue
+                v = key[q[f]] + fixed - x
                 if v < low:
-                    low, choice = v, q[front]
-        for h in range(hits[j], hits[j + 1]):
+                    low, choice = v, q[f]
+        end = hits[j + 1]
+        while h < end:
             if best[earlier[h]] < low:
-                low, choice = best[earlier[h]], earlier[h]
+                choice = earlier[h]
+                low = best[choice]
+            h += 1
         best[j] = low = low + fee[j]
-        key[j], back[j] = low + x, choice
+        key[j] = v = low + x
+        back[j] = choice
+        while len(queue) > front and key[queue[-1]] >= v:
+            queue.pop()
+        queue.append(j)
     out, j = [], n - 1
     while j:
         i = back[j]
@@ -126,18 +149,12 @@ def _tokens(path: str) -> _Tokens:
     return _Tokens(path)
 
 
-def _apart(stops: np.ndarray, spacing: int) -> np.ndarray:
-    """The first of the sentence ends in each run of `spacing` ids."""
-    cell = stops // spacing
-    return stops[np.concatenate([[True], cell[1:] != cell[:-1]])] if len(stops) else stops
-
-
-def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, sentence: float = 4.0, anywhere: float = 16.0, spacing: int = 48) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, sentence: float = 4.0, anywhere: float = 16.0) -> DataFrame:
     """Pieces of `docs` (doc_id, text) in sequences of at most `limit` ids.
 
     One row for each piece: doc_id, start (ids of its document before it), length, ids (little-endian unsigned 32-bit), doc_tokens
     (with the `end_id` that closes each document), sequence_id, offset (in the sequence), padded (length of the padded sequence).
-    Of the sentence ends in each run of `spacing` ids of a document, the first is offered as a cut.
+    Every sentence end is offered as a cut.
     A null text is an empty one and gives its end id alone; rows that share a doc_id, or have none, are documents of their own;
     other columns are ignored; an empty table gives an empty result. `tokenizer` is a tokenizers file that every executor has.
     """
@@ -192,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, se
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, stops = tokens(text.as_py() or "")
                 ids = np.append(ids, np.uint32(end_id))
-                pend.append((doc, 0, ids, _apart(stops, spacing), len(ids)))
+                pend.append((doc, 0, ids, stops, len(ids)))
                 held += len(ids)
                 if held > STRETCH:
                     yield from settle(False)
