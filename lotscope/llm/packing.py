@@ -28,7 +28,7 @@ from lotscope.operators.store import lean
 
 STRETCH = 1 << 18
 #: Bytes of texts whose words are told apart at once, and words whose ids are kept.
-BLOCK, KNOWN = 1 << 22, 1 << 18
+BLOCK, KNOWN = 1 << 20, 1 << 18
 #: Where a longer text may be parted: a word of PATTERN begins there, whatever comes before and after.
 _PART = re.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])")
 #: How byte-level BPE splits a text before merging (fixed value).
